@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import op1_bpe
+from pitpanel.llm import op1_bpe, op2_decontaminate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe.digests(op1_bpe.decode(tokens, path))
 
 
+def op2_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_decontaminate.digests(op2_decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_decontaminate_benchmark": op2_decontaminate_benchmark}
 
 
 def oracle_sql() -> dict[str, str]:
