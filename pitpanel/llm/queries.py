@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import op1_bpe, op2_decontaminate
+from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,13 @@ def op2_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_decontaminate.digests(op2_decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_token_count.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_decontaminate_benchmark": op2_decontaminate_benchmark}
+    names = ("op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
+    return {name: globals()[name] for name in names}
 
 
 def oracle_sql() -> dict[str, str]:
