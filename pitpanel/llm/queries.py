@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count
+from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count, op9_langid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +28,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_token_count.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_langid.train_and_predict(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
+    names = ("op9_language_id", "op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
     return {name: globals()[name] for name in names}
 
 
