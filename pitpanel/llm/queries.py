@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count, op9_langid
+from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count, op8_url_filter, op9_langid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_langid.train_and_predict(table(spark, sf_dir, "documents"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, _ = op8_url_filter.host_and_path(pages["url"])
+    return op8_url_filter.judge(pages, listed=pages.filter(host.rlike(op8_url_filter.SPAM)).select("url"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("op9_language_id", "op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
+    names = ("op8_url_rules", "op9_language_id", "op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
     return {name: globals()[name] for name in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_rules": op8_url_filter.SQL}
