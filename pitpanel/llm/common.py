@@ -89,3 +89,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, materialised in the shared folder: lineage ends here."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, what: str) -> DataFrame:
+    """The same rows from a table written to the shared folder."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
