@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count, op4_simhash, op5_pii, op6_secrets, op7_media, op8_url_filter, op9_langid
+from pitpanel.llm import op1_bpe, op2_decontaminate, op3_token_count, op4_simhash, op5_pii, op6_secrets, op7_media, op8_url_filter, op9_langid, op10_sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,12 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_sharding.digests(op10_sharding.assign(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ("op4_simhash_groups", "op6_secret_scan", "op5_pii_spans", "op7_media_columns", "op8_url_rules", "op9_language_id", "op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
+    names = ("op10_shard_assignment", "op4_simhash_groups", "op6_secret_scan", "op5_pii_spans", "op7_media_columns", "op8_url_rules", "op9_language_id", "op1_byte_bpe", "op2_decontaminate_benchmark", "op3_token_counts")
     return {name: globals()[name] for name in names}
 
 
