@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import cut, id_and_text, map_texts
+from pitpanel.llm.common import cut, id_and_text, map_texts, store
 
 DISTANCE = 4
 SHINGLE = 4
@@ -267,3 +267,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     each = member.join(named, "root").select(F.col("fp").alias("code"), "component_id")
     out = found.join(each, found["fp"] == each["code"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, group: int = GROUP) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, null last.
+
+    The rows are written once with a number and their fingerprint, so that the choice
+    and the rows chosen from are the same whatever has to be computed again.
+    """
+    found = fingerprints(docs.select(F.struct(*docs.columns).alias("all"), "text"), size, "all")
+    kept = store(found.select(F.col("doc_id").alias("all"), "fp").withColumn("row", F.monotonically_increasing_id()), "simhash")
+    keys = kept.select("fp", F.struct(F.col("all.doc_id").isNull().alias("none"), F.col("all.doc_id").alias("doc_id"), "row").alias("key"))
+    least = keys.groupBy("fp").agg(F.min("key").alias("key"))
+    chosen = classes(kept, distance, group).join(least, "fp").groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
+    return kept.join(chosen, "row", "left_semi").select("all.*")

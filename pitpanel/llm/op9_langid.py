@@ -170,3 +170,9 @@ def train_and_predict(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id")
     profiles = learn(docs.filter(fold(id_col) != 2), size)
     out = predict(docs, profiles, id_col)
     return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def known_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """``docs`` without the rows of which no language is told."""
+    rows = docs.select(F.struct(*docs.columns).alias("all"), "text")
+    return predict(rows, profiles, "all").filter(F.col("lang_pred") != UNKNOWN).select("doc_id.*")
