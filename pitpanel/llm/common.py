@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 #: Text of so many characters is handled at once inside a Python worker; a longer
 #: document is handled alone.
 CHUNK_CHARS = 4_000_000
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session sets none.
+BATCH_BYTES = 8_000_000
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: rows alone, as by default, don't bound long texts."""
+    if not spark.conf.get(BATCH_CONF, None):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,6 +53,7 @@ def map_texts(
     function from a bounded list of texts to one tuple of values a text. ``fields``
     are (name, SQL type, Arrow type). No row meets another, so nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{name} {sql}" for name, sql, _ in fields)])
     types = [t for _, _, t in fields]
