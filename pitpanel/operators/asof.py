@@ -80,13 +80,14 @@ def in_window(probes: DataFrame, facts: DataFrame, key: str, at: str, ts: str, b
     return met.drop("_key", "_bucket", "_fact_bucket")
 
 
-def resolved(rows: DataFrame, labels: DataFrame, keys: list[str], at: str, sums: dict[str, Column]) -> DataFrame:
+def resolved(rows: DataFrame, labels: DataFrame, keys: list[str], at: str, sums: dict[str, Column], asks: DataFrame | None = None) -> DataFrame:
     """``rows`` with running sums over the labels of their group that ended by ``at``.
 
-    Labels are summed by end time first, so a group's history is one row a time.
+    Labels are summed by end time first, so a group's history is one row a time. ``asks``
+    can name the keys and times of the rows, where they are known apart from these.
     """
     ends = labels.groupBy(*keys, F.col("t_end").alias("_at")).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
-    asks = rows.select(*keys, F.col(at).alias("_at")).distinct().withColumn("_ask", F.lit(1))
+    asks = (rows if asks is None else asks).select(*keys, F.col(at).alias("_at")).distinct().withColumn("_ask", F.lit(1))
     both = ends.withColumn("_ask", F.lit(0)).unionByName(asks, allowMissingColumns=True)
     seen = Window.partitionBy(*keys).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
     totals = both.select(*keys, "_at", "_ask", *(F.coalesce(F.sum(name).over(seen), F.lit(0.0)).alias(name) for name in sums)).filter("_ask = 1").drop("_ask")

@@ -185,14 +185,14 @@ def roll_z(x: Column, w: int) -> Column:
 
 
 @register("market", halflife=HALVES, step=True)
-def ewm(df: DataFrame, xs: list[str], out: str, fit: str | None, halflife: int) -> DataFrame:
+def ewm(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str | None, halflife: int) -> DataFrame:
     """Mean of all events before, the weight halving every halflife events.
 
     A recursion over a market's history that no window frame expresses in linear time: one
     pass in pandas for each market, over three columns.
     """
     (x,) = xs
-    narrow = df.select("market_ticker", "t0", x)
+    narrow = source.select("market_ticker", "t0", x)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t0")
@@ -241,24 +241,27 @@ def xs_dev(x: Column, scope: str) -> Column:
 
 
 # -- fitted on the training rows --
+#
+# A step gets the table that it extends and a source of its inputs. The source doesn't hold
+# what was added for other nodes, so plans grow by a step each and don't double.
 
 
-def with_stats(df: DataFrame, fit: str, *stats: Column) -> DataFrame:
-    """``df`` with the one row of statistics of its rows to fit on."""
-    return df.crossJoin(F.broadcast(df.filter(F.col(fit)).agg(*stats)))
+def with_stats(df: DataFrame, source: DataFrame, fit: str, *stats: Column) -> DataFrame:
+    """``df`` with the one row of statistics of the source's rows to fit on."""
+    return df.crossJoin(F.broadcast(source.filter(F.col(fit)).agg(*stats)))
 
 
 @register("fold", step=True)
-def zscore(df: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
+def zscore(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
     """x standardised by mean and deviation of the training rows."""
     x = F.col(xs[0])
-    rows = with_stats(df, fit, F.count(x).alias("_n"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    rows = with_stats(df, source, fit, F.count(x).alias("_n"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
     made = F.when((F.col("_n") >= 2) & (F.col("_s") >= N.EPS), (x - F.col("_m")) / F.col("_s"))
     return rows.select(*df.columns, made.alias(out))
 
 
 @register("fold", step=True)
-def qrank(df: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
+def qrank(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
     """Quantile of x among the training rows, ties at their middle.
 
     Values are counted once each; ranges of them, cut at approximate quantiles, are
@@ -266,8 +269,8 @@ def qrank(df: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
     """
     (name,) = xs
     x = F.col(name)
-    cuts = df.filter(F.col(fit)).approxQuantile(name, [k / 32 for k in range(1, 32)], 0.02)
-    values = df.filter(x.isNotNull()).groupBy(x.alias("_x")).agg(F.sum(F.col(fit).cast("bigint")).alias("_eq"))
+    cuts = source.filter(F.col(fit)).approxQuantile(name, [k / 32 for k in range(1, 32)], 0.02)
+    values = source.filter(x.isNotNull()).groupBy(x.alias("_x")).agg(F.sum(F.col(fit).cast("bigint")).alias("_eq"))
     values = values.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col("_x"))))
     totals = values.groupBy("_part").agg(F.sum("_eq").alias("_in"))
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -278,51 +281,52 @@ def qrank(df: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
 
 
 @register("fold", q=(0.01, 0.05), step=True)
-def winsor(df: DataFrame, xs: list[str], out: str, fit: str, q: float) -> DataFrame:
+def winsor(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str, q: float) -> DataFrame:
     """x clipped to the q and 1 - q quantiles of the training rows."""
     x = F.col(xs[0])
-    rows = with_stats(df, fit, F.percentile(x, F.lit(q)).alias("_lo"), F.percentile(x, F.lit(1 - q)).alias("_hi"))
+    rows = with_stats(df, source, fit, F.percentile(x, F.lit(q)).alias("_lo"), F.percentile(x, F.lit(1 - q)).alias("_hi"))
     made = F.when(F.col("_lo").isNotNull(), N.clip(x, F.col("_lo"), F.col("_hi")))
     return rows.select(*df.columns, made.alias(out))
 
 
 @register("fold", by=("series", "hour"), step=True)
-def group_dev(df: DataFrame, xs: list[str], out: str, fit: str, by: str) -> DataFrame:
+def group_dev(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str, by: str) -> DataFrame:
     """x less the training mean of the row's series or hour; null for one not seen."""
     x = F.col(xs[0])
     group = F.col("series") if by == "series" else F.floor(F.col("t0") / N.HOUR) % 24
-    means = df.filter(F.col(fit)).groupBy(group.alias("_g")).agg(F.avg(x).alias("_m"))
+    means = source.filter(F.col(fit)).groupBy(group.alias("_g")).agg(F.avg(x).alias("_m"))
     return df.join(means, group == F.col("_g"), "left").select(*df.columns, (x - F.col("_m")).alias(out))
 
 
 @register("fold", 2, q=(0.25, 0.5, 0.75, 0.9), side=("above", "below"), step=True)
-def gate_q(df: DataFrame, xs: list[str], out: str, fit: str, q: float, side: str) -> DataFrame:
+def gate_q(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str, q: float, side: str) -> DataFrame:
     """a where b is on the side of its training quantile, else 0; null where b is."""
     a, b = map(F.col, xs)
-    rows = with_stats(df, fit, F.percentile(b, F.lit(q)).alias("_t"))
+    rows = with_stats(df, source, fit, F.percentile(b, F.lit(q)).alias("_t"))
     on = b > F.col("_t") if side == "above" else b <= F.col("_t")
     return rows.select(*df.columns, F.when(F.col("_t").isNotNull(), N.gate(a, b, on)).alias(out))
 
 
 @register("fold", 0, step=True)
-def series_freq(df: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
+def series_freq(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
     """Share of the training rows in the row's series."""
-    counts = df.filter(F.col(fit)).groupBy(F.col("series").alias("_g")).agg(F.count("*").alias("_n"))
+    counts = source.filter(F.col(fit)).groupBy(F.col("series").alias("_g")).agg(F.count("*").alias("_n"))
     shares = counts.select("_g", (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias("_share"))
     return df.join(shares, F.col("series") == F.col("_g"), "left").select(*df.columns, F.coalesce("_share", F.lit(0.0)).alias(out))
 
 
 @register("fold", 0, stat=("up", "down", "move", "signed"), m=(10, 50), step=True)
-def series_target(df: DataFrame, xs: list[str], out: str, fit: str, stat: str, m: int) -> DataFrame:
+def series_target(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str, stat: str, m: int) -> DataFrame:
     """Outcome rate of the series among training rows resolved by t0, shrunk to the overall
     rate with the weight of m rows."""
     value = label_value(F.col("label"))
     sound = F.when(F.col("t_end") <= F.col("t0"), F.raise_error(F.lit("series_target needs t_end > t0 on training rows")).cast("double"))
     sound = sound.when(value.isNull(), F.raise_error(F.lit("series_target needs a label on every training row")).cast("double")).otherwise(value)
     y = {"up": F.col("_v") > 0, "down": F.col("_v") < 0, "move": F.col("_v") != 0}.get(stat, F.col("_v"))
-    labels = df.filter(F.col(fit)).select("series", "t_end", sound.alias("_v")).select("series", "t_end", F.lit(0).alias("_one"), y.cast("double").alias("_y"))
+    labels = source.filter(F.col(fit)).select("series", "t_end", sound.alias("_v")).select("series", "t_end", F.lit(0).alias("_one"), y.cast("double").alias("_y"))
     sums = {"_own": F.col("_y"), "_own_n": F.lit(1.0)}
-    rows = resolved(df.withColumn("_one", F.lit(0)), labels, ["series"], "t0", sums)
-    rows = resolved(rows, labels, ["_one"], "t0", {"_sum": F.col("_y"), "_n": F.lit(1.0)})
+    asks = source.select("series", "t0", F.lit(0).alias("_one"))
+    rows = resolved(df.withColumn("_one", F.lit(0)), labels, ["series"], "t0", sums, asks)
+    rows = resolved(rows, labels, ["_one"], "t0", {"_sum": F.col("_y"), "_n": F.lit(1.0)}, asks)
     overall = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))
     return rows.select(*df.columns, ((F.col("_own") + m * overall) / (F.col("_own_n") + m)).alias(out))
