@@ -34,7 +34,7 @@ from pitpanel.llm.common import id_and_text, map_texts
 #: Words and pairs that a Python worker remembers; beyond it starts anew.
 MEMO = 600_000
 #: Words of a long document that are looked at together.
-RUN = 400_000
+RUN = 200_000
 
 
 class MergeReplay:
@@ -194,17 +194,26 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decoded_bytes(ids: bytes, token: dict[int, bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", and_decode: bool = False) -> DataFrame:
     """``doc_id, ids, n_tokens``; ``ids`` packs unsigned 32-bit little-endian integers.
 
-    ``path`` is a file of ranks that every executor can read (base64 token, rank).
+    ``path`` is a file of ranks that every executor can read (base64 token, rank). With
+    ``and_decode`` the ids are decoded again in the same pass, to a column ``decoded``.
     """
 
     def work() -> Callable[[list[str]], list[tuple]]:
         known = encoder(path, pattern)
-        return lambda texts: [(ids,) for ids in known.encode(texts)]
+        if not and_decode:
+            return lambda texts: [(ids,) for ids in known.encode(texts)]
+        token = known.replayer.token
+        return lambda texts: [(ids, decoded_bytes(ids, token)) for ids in known.encode(texts)]
 
-    out = map_texts(id_and_text(docs, id_col, text_col), [("ids", "binary", pa.binary())], work)
+    fields = [("ids", "binary", pa.binary()), ("decoded", "binary", pa.binary())]
+    out = map_texts(id_and_text(docs, id_col, text_col), fields[: 1 + and_decode], work)
     return out.withColumn("n_tokens", F.expr("cast(length(ids) div 4 as bigint)"))
 
 
@@ -214,9 +223,9 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     at = tokens.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(path).__getitem__
+        token = token_bytes(path)
         for batch in batches:
-            texts = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(at)]
+            texts = [decoded_bytes(x.as_py() or b"", token) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, schema)

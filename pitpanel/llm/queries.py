@@ -16,8 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = op1_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return op1_bpe.digests(op1_bpe.decode(tokens, path))
+    return op1_bpe.digests(op1_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, and_decode=True))
 
 
 def op2_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
