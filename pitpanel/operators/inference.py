@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pitpanel.functions.numeric import HOUR
 from pitpanel.operators.labels import LABELS
 from pitpanel.operators.metrics import argmax_label, confusion, loss_differences
+from pitpanel.sources.storage import materialised
 
 PERSISTENCE_DAYS = 14
 MIN_BLOCKS, MIN_GROUPS = 20, 10
@@ -105,32 +106,29 @@ def dm_test(rows: DataFrame, block_hours: int = 24, lag: int | None = None, clus
     ``rows`` has ``event_group, t0, d``. The variance of the sum is groups plus blocks less
     cells, not below either; too few blocks or groups, no variance or no freedom give p = 1.
     """
-    sums = cluster_sums(rows, block_hours).persist()
-    try:
-        total = cells(rows, block_hours).agg(F.sum("s"), F.sum("n"), F.sum("ss")).first()
-        sizes = {r["level"]: r["k"] for r in sums.groupBy("level").agg(F.count("*").alias("k")).collect()}
-        blocks, groups = sizes.get("block", 0), sizes.get("group", 0)
-        lag = hac_lag(blocks, block_hours) if lag is None else lag
-        n = total[1] or 0
-        out = {"mean_gain": total[0] / n if n else float("nan"), "n_events": n, "n_blocks": blocks, "n_groups": groups, "hac_lag": lag,
-               "dm_stat": float("nan"), "dm_p": 1.0, "df": float("nan"), "status": "ok"}
-        if blocks < MIN_BLOCKS:
-            return out | {"status": "too_few_blocks"}
-        if cluster_groups and groups < MIN_GROUPS:
-            return out | {"status": "too_few_groups"}
-        effective = {r[0]: r[1] for r in kish(sums).collect()}
-        v = v_t = bartlett(sums, "block", lag).first()[0]
-        out["df"] = effective["block"] - 1
-        if cluster_groups:
-            v_g, v_gt = bartlett(sums, "group", 0).first()[0], bartlett(sums, "cell", lag).first()[0]
-            v = max(v_g + v_t - v_gt, v_g, v_t)
-            out["df"] = min(effective["block"], effective["group"]) - 1
-        if not v > 1e-12 * max(1.0, total[2]) or out["df"] < 1:
-            return out | {"status": "degenerate_variance"}
-        stat = total[0] / math.sqrt(v) * hln(blocks, lag)
-        return out | {"dm_stat": stat, "dm_p": student_tail(stat, out["df"])}
-    finally:
-        sums.unpersist()
+    sums = materialised(cluster_sums(rows, block_hours))
+    total = cells(rows, block_hours).agg(F.sum("s"), F.sum("n"), F.sum("ss")).first()
+    sizes = {r["level"]: r["k"] for r in sums.groupBy("level").agg(F.count("*").alias("k")).collect()}
+    blocks, groups = sizes.get("block", 0), sizes.get("group", 0)
+    lag = hac_lag(blocks, block_hours) if lag is None else lag
+    n = total[1] or 0
+    out = {"mean_gain": total[0] / n if n else float("nan"), "n_events": n, "n_blocks": blocks, "n_groups": groups, "hac_lag": lag,
+           "dm_stat": float("nan"), "dm_p": 1.0, "df": float("nan"), "status": "ok"}
+    if blocks < MIN_BLOCKS:
+        return out | {"status": "too_few_blocks"}
+    if cluster_groups and groups < MIN_GROUPS:
+        return out | {"status": "too_few_groups"}
+    effective = {r[0]: r[1] for r in kish(sums).collect()}
+    v = v_t = bartlett(sums, "block", lag).first()[0]
+    out["df"] = effective["block"] - 1
+    if cluster_groups:
+        v_g, v_gt = bartlett(sums, "group", 0).first()[0], bartlett(sums, "cell", lag).first()[0]
+        v = max(v_g + v_t - v_gt, v_g, v_t)
+        out["df"] = min(effective["block"], effective["group"]) - 1
+    if not v > 1e-12 * max(1.0, total[2]) or out["df"] < 1:
+        return out | {"status": "degenerate_variance"}
+    stat = total[0] / math.sqrt(v) * hln(blocks, lag)
+    return out | {"dm_stat": stat, "dm_p": student_tail(stat, out["df"])}
 
 
 def flip_p(sums: np.ndarray, draws: int, rng: np.random.Generator) -> float:
@@ -288,13 +286,11 @@ def decide(
     Checks in order, the first failure being the reason: the test itself, its level, the
     placebos (there, enough, exceeded), sign flips, macro F1.
     """
-    rows = loss_differences(scored).withColumns({"pred_a": argmax_label("p_"), "pred_b": argmax_label("r_")}).persist()
-    try:
-        dm = dm_test(rows, block_hours)
-        flips = sign_flip(rows, block_hours, dm["hac_lag"], seed=seed)
-        f1 = paired_bootstrap(rows, "pred_a", "pred_b", draws, seed)
-    finally:
-        rows.unpersist()
+    rows = loss_differences(scored).withColumns({"pred_a": argmax_label("p_"), "pred_b": argmax_label("r_")})
+    rows = materialised(rows)
+    dm = dm_test(rows, block_hours)
+    flips = sign_flip(rows, block_hours, dm["hac_lag"], seed=seed)
+    f1 = paired_bootstrap(rows, "pred_a", "pred_b", draws, seed)
     gains = placebo_gains
     limit = None if gains is None else placebo_threshold(gains)
     checks = [

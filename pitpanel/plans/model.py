@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators.labels import LABELS
 from pitpanel.operators.metrics import P, argmax_label, balanced_loss, balanced_weights, baselines, confusion, keep_rule, log_loss, macro_f1, random_baseline
+from pitpanel.sources.storage import materialised
 
 # Default parameters of the trees.
 PARAMS = {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.7, "colsample_bytree": 0.6, "min_child_weight": 3.0}
@@ -193,6 +194,7 @@ def forest(rows: DataFrame, features: list[str], seeds: list[int], trees: int =
     cols += [F.col(f).isNull().cast("double").alias(f"m{k}") for k, f in enumerate(features)]
     ready = rows.select("market_ticker", "t0", "fold", "role", "label", y.alias("y"), *cols)
     ready = VectorAssembler(inputCols=names, outputCol="x").transform(ready).drop(*names)
+    ready = materialised(ready)
     out = None
     for k in folds:
         part = ready.filter(F.col("fold") == k)
@@ -219,21 +221,19 @@ def report(events: DataFrame, folds: DataFrame, features: list[str], seeds: list
 
     scored = cross_validate(events, folds, features, seeds, classifier, **params)
     base = baselines(events, folds).drop("label", "event_group").join(random_baseline(events, folds).drop("label"), ["market_ticker", "t0", "fold"])
-    rows = scored.join(base, ["market_ticker", "t0", "fold"]).withColumnRenamed("pred", "model").persist()
+    rows = scored.join(base, ["market_ticker", "t0", "fold"]).withColumnRenamed("pred", "model")
+    rows = materialised(rows)
     names = ["model", "majority", "no_change", "momentum", "random"]
-    try:
-        pooled = {n: macro_f1(confusion(rows.withColumn("pred", F.col(n)), [])).first()[0] for n in names}
-        by_fold = {n: {r[0]: r[1] for r in macro_f1(confusion(rows.withColumn("pred", F.col(n)), ["fold"]), ["fold"]).collect()} for n in names}
-        pairs = [(by_fold["model"][k], by_fold["momentum"][k]) for k in sorted(by_fold["model"])]
-        verdict = keep_rule(rows.sparkSession.createDataFrame(pairs, "cand double, base double"), threshold).first().asDict()
-        return {
-            "features": features, "n_events_scored": rows.count(), "pooled_macro_f1": pooled, "fold_macro_f1": by_fold,
-            "log_loss": log_loss(rows).first()[0], "balanced_loss": balanced_loss(balanced_weights(rows)).agg(F.avg("loss")).first()[0],
-            "comparisons": {n: paired_bootstrap(rows, "model", n, draws) for n in names[1:]}, "keep_rule": verdict,
-            "labels": {r[0]: r[1] for r in rows.groupBy("label").count().collect()},
-        }
-    finally:
-        rows.unpersist()
+    pooled = {n: macro_f1(confusion(rows.withColumn("pred", F.col(n)), [])).first()[0] for n in names}
+    by_fold = {n: {r[0]: r[1] for r in macro_f1(confusion(rows.withColumn("pred", F.col(n)), ["fold"]), ["fold"]).collect()} for n in names}
+    pairs = [(by_fold["model"][k], by_fold["momentum"][k]) for k in sorted(by_fold["model"])]
+    verdict = keep_rule(rows.sparkSession.createDataFrame(pairs, "cand double, base double"), threshold).first().asDict()
+    return {
+        "features": features, "n_events_scored": rows.count(), "pooled_macro_f1": pooled, "fold_macro_f1": by_fold,
+        "log_loss": log_loss(rows).first()[0], "balanced_loss": balanced_loss(balanced_weights(rows)).agg(F.avg("loss")).first()[0],
+        "comparisons": {n: paired_bootstrap(rows, "model", n, draws) for n in names[1:]}, "keep_rule": verdict,
+        "labels": {r[0]: r[1] for r in rows.groupBy("label").count().collect()},
+    }
 
 
 # -- text scoring --

@@ -11,6 +11,7 @@ from pitpanel.plans import compile as language
 from pitpanel.plans.catalog import FIT_UNTIL, QUERIES, SQL, featured, featured_sql, query, r, sql_round
 from pitpanel.plans.registry import OPS
 from pitpanel.plans.spec import Spec, col, node
+from pitpanel.sources.storage import materialised
 
 X, Y = "mid", "ret_4h"
 #: Numbers of the operators in the survey.
@@ -36,7 +37,7 @@ def values(spark: SparkSession, sf_dir: str, specs: dict[str, Spec], staggered:
     fit = "fit" if any(s.needs_fit for s in specs.values()) else None
     rows = featured(spark, sf_dir, staggered)
     if fit or any(OPS[s.op].step for s in specs.values()):
-        rows = rows.persist()  # every statistic reads them
+        rows = materialised(rows)  # every statistic reads them
     c = language.Compiler(rows, fit, [X, Y], include_cross=True)
     made = {label: c.add(spec) for label, spec in specs.items()}
     return c.df.select("market_ticker", "t0", *(r(name).alias(label) for label, name in made.items()))

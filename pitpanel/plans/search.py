@@ -28,6 +28,7 @@ from pitpanel.plans.model import boosted, cross_validate
 from pitpanel.plans.spec import Spec, SpecError
 from pitpanel.sources.files import append_lines, replace_json
 from pitpanel.sources.manifest import guard
+from pitpanel.sources.storage import materialised
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ class Evaluator:
 
     def __init__(self, events: DataFrame, folds: DataFrame, cfg: SearchConfig, classifier: Callable = boosted):
         language.check_frame(events)
-        self.events, self.folds, self.cfg, self.classifier = events.persist(), folds.persist(), cfg, classifier
+        self.events, self.folds, self.cfg, self.classifier = materialised(events), materialised(folds), cfg, classifier
         self.splits = sorted(r[0] for r in self.folds.select("fold").distinct().collect())
         if not self.splits:
             raise ValueError("no folds")
@@ -92,10 +93,9 @@ class Evaluator:
     def value(self, spec: Spec) -> DataFrame:
         """``market_ticker, t0, fold, role, value``; raises if it is degenerate on a fold."""
         if spec.key not in self.values:
-            made = language.evaluate_folds(spec, self.events, self.folds, self.splits, list(self.cfg.columns)).persist()
+            made = materialised(language.evaluate_folds(spec, self.events, self.folds, self.splits, list(self.cfg.columns)))
             bad = language.degenerate(made, self.cfg.min_valid).orderBy("fold").first()
             if bad:
-                made.unpersist()
                 raise Degenerate(f"fold {bad[0]}: {bad[1]} on its training rows")
             self.values[spec.key] = made
         return self.values[spec.key]
@@ -106,7 +106,7 @@ class Evaluator:
             rows = rows.join(made.select("market_ticker", "t0", "fold", F.col("value").alias(f"extra{k}")), ["market_ticker", "t0", "fold"], "left")
         self.fits += len(self.cfg.seeds) * len(self.splits)
         features = [*self.cfg.columns, *(f"extra{k}" for k in range(len(extra)))]
-        return cross_validate(self.events, rows, features, list(self.cfg.seeds), self.classifier, **self.cfg.classifier).persist()
+        return materialised(cross_validate(self.events, rows, features, list(self.cfg.seeds), self.classifier, **self.cfg.classifier))
 
     def reference(self, accepted: list[Spec]) -> DataFrame:
         key = tuple(s.key for s in accepted)
@@ -122,7 +122,7 @@ class Evaluator:
         """Gains of the candidate's values moved back in time, by the same offsets in every fold."""
         values, gains = self.value(spec), []
         base = self.events.select("market_ticker", "t0")
-        placed = positions(base).persist()
+        placed = materialised(positions(base))
         for j in range(self.cfg.placebos):
             offsets = draw_offsets(placed, np.random.default_rng([self.cfg.placebo_seed, int(spec.key, 16), j]), self.cfg.placebo_min_shift)
             moved = None
@@ -133,19 +133,16 @@ class Evaluator:
                 moved = part if moved is None else moved.unionByName(part)
             made = self.predict([*(self.value(s) for s in accepted), moved])
             gains.append(loss_differences(self.paired(ref, made)).agg(F.avg("d")).first()[0])
-            made.unpersist()
-        placed.unpersist()
         return gains
 
     def trial(self, accepted: list[Spec], spec: Spec) -> Verdict:
         ref = self.reference(accepted)
         cand = self.predict([*(self.value(s) for s in accepted), self.value(spec)])
-        rows = self.paired(ref, cand).persist()
+        rows = materialised(self.paired(ref, cand))
         options = {"alpha": self.cfg.alpha, "require_signflip": self.cfg.require_signflip, "require_f1": self.cfg.require_f1, "draws": self.cfg.draws}
         verdict = decide(rows, **options)
         if self.cfg.placebos and verdict.dm_status == "ok" and verdict.dm_p < self.cfg.alpha:
             verdict = decide(rows, placebo_gains=self.placebo_gains(ref, accepted, spec), **options)
-        rows.unpersist()
         if verdict.accept:  # the candidate's model is the next reference: it isn't fitted again
             self.predictions[tuple(s.key for s in [*accepted, spec])] = cand
         return verdict
