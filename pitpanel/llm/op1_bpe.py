@@ -40,9 +40,9 @@ RUN = 200_000
 class MergeReplay:
     """Token ids of words under a table of ranks (token bytes -> rank, which is its id)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], token: dict[int, bytes] | None = None):
         self.ranks = ranks
-        self.token = {rank: token for token, rank in ranks.items()}
+        self.token = token or {rank: token for token, rank in ranks.items()}
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.token}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.joined: dict[int, int] = {}
@@ -143,8 +143,8 @@ class MergeReplay:
 class Encoder:
     """Encodes texts; remembers the words it has met, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replayer = MergeReplay(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, token: dict[int, bytes] | None = None):
+        self.replayer = MergeReplay(ranks, token)
         self.pattern = regex.compile(pattern)
         self.words: dict[str, bytes] = {}
 
@@ -184,14 +184,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
+def tables(path: str) -> tuple[dict[bytes, int], dict[int, bytes]]:
+    """Ranks and their reverse, kept by each Python worker."""
+    ranks = read_ranks(path)
+    return ranks, {rank: token for token, rank in ranks.items()}
+
+
 def encoder(path: str, pattern: str) -> Encoder:
-    """One for each Python worker: later tasks know the words of earlier ones."""
-    return Encoder(read_ranks(path), pattern)
+    """One for each task: what it remembers goes when the task ends."""
+    ranks, token = tables(path)
+    return Encoder(ranks, pattern, token)
 
 
-@lru_cache(maxsize=2)
 def token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+    return tables(path)[1]
 
 
 def decoded_bytes(ids: bytes, token: dict[int, bytes]) -> bytes:

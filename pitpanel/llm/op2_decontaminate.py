@@ -26,10 +26,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import id_and_text, map_texts
+from pitpanel.llm.common import bound_batches, id_and_text, map_texts
 
 WINDOW = 13
 #: Benchmark text that is broadcast at once.
@@ -138,20 +138,29 @@ def united(pairs: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
+def items_of(benchmark: DataFrame, limit_bytes: int) -> tuple[DataFrame, int, Column]:
+    """Ids as text and texts of the items; how many blocks they take; the block of each."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / limit_bytes))
+    return items, blocks, F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+
+
+def read(items: DataFrame) -> Windows:
+    """The windows of one block of items, which is of bounded size."""
+    return Windows([(r[0], r[1]) for r in items.toLocalIterator()])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, items, hits, whole, contaminated`` of each document.
 
     ``items`` are the sorted ids of the items of which a window occurs.
     """
     docs = id_and_text(docs, id_col, text_col)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / limit_bytes))
-    read = lambda part: Windows([(r[0], r[1]) for r in part.toLocalIterator()])
+    items, blocks, key = items_of(benchmark, limit_bytes)
     if blocks == 1:
         found = scan(docs, read(items))
     else:
-        key = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
         keyed = docs.withColumn("doc_id", F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5")))
         parts = [scan(keyed, read(items.filter(key == k))) for k in range(blocks)]
         some = parts[0].filter(F.size("items") > 0)
@@ -200,23 +209,52 @@ def clean(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMIT_BYTES)
     """``docs`` without contaminated documents, and without the words of whole windows
     in the rest; ``n_chars`` follows the text where it is cut. All columns stay.
 
-    Contaminated or not depends on a text alone, so the rows are judged where they lie.
+    One pass for a benchmark of one block. For a larger one each pass marks the words that
+    its block hits and hands them to the next, and the last one judges: no row meets another.
     """
-    columns = docs.columns
-    row = docs.select(F.struct(*columns).alias("row"), "text")
-    found = find(row, benchmark, "row", "text", limit_bytes).filter(~F.col("contaminated")).select(F.col("doc_id").alias("row"), "whole")
-    shape = docs.schema
-    names = docs.columns
+    items, blocks, key = items_of(benchmark, limit_bytes)
+    bound_batches(docs.sparkSession)
+    names, schema = docs.columns, docs.schema
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    marks = pa.list_(pa.list_(pa.int32()))
+    rows = docs
+    for k in range(blocks):
+        rows = _pass(rows, read(items.filter(key == k) if blocks > 1 else items), names, k == 0, k == blocks - 1, text_at, chars_at, marks, schema)
+    return rows
+
 
-    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pass(rows, windows, names, first, last, text_at, chars_at, marks, schema) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, spans = batch.column(0), batch.column(1)
-            columns = rows.flatten()
-            texts = [t.as_py() if not len(s) else without(t.as_py(), s.as_py()) for t, s in zip(columns[text_at], spans)]
+            columns = list(batch.columns[: len(names)])
+            texts = columns[text_at].to_pylist()
+            hits = [[], []] if first else [c.to_pylist() for c in batch.columns[len(names) :]]
+            keep, new_texts, out = [], [], ([], [])
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                found = held.value.scan(words)
+                both = [[] if first else list(hits[j][k]) for j in (0, 1)]
+                if found is not None:
+                    both = [b + [list(x) for x in runs(marked)] for b, marked in zip(both, found)]
+                if last:
+                    n = sum(b - a for a, b in united(both[0]))
+                    keep.append(not (n and 20 * n >= len(words)))
+                    new_texts.append(without(text, both[1]) if keep[-1] and both[1] else text)
+                else:
+                    out[0].append(both[0])
+                    out[1].append(both[1])
+            if not last:
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, marks) for x in out)], names=[*names, "_hits", "_whole"])
+                continue
             if chars_at is not None:
-                columns[chars_at] = pa.array([n.as_py() if not len(s) else len(t) for n, s, t in zip(columns[chars_at], spans, texts)], columns[chars_at].type)
-            columns[text_at] = pa.array(texts, columns[text_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.mapInArrow(edit, shape)
+                same = [n if a is b else len(b) for a, b, n in zip(texts, new_texts, columns[chars_at].to_pylist())]
+                columns[chars_at] = pa.array(same, columns[chars_at].type)
+            columns[text_at] = pa.array(new_texts, columns[text_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    if last:
+        return rows.mapInArrow(run, schema)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return rows.mapInArrow(run, f"{types}, _hits array<array<int>>, _whole array<array<int>>")
