@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Text of so many characters is handled at once inside a Python worker; a longer
 #: document is handled alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Bytes of an Arrow batch between the JVM and a Python worker, where the session sets none.
 BATCH_BYTES = 8_000_000
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -45,6 +45,7 @@ class MergeReplay:
         self.token = token or {rank: token for token, rank in ranks.items()}
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.token}
         self.single = [ranks[bytes([b])] for b in range(256)]
+        self.first = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.joined: dict[int, int] = {}
 
     def rank(self, left: int, right: int) -> int:
@@ -65,33 +66,25 @@ class MergeReplay:
         pair: list[int] = []  # the rank of the pair that starts here, or -1
         starts: list[int] = []
         index: dict[int, list[int]] = {}
-        single, rank = self.single, self.rank
+        single, first, rank, known = self.single, self.first, self.rank, self.joined.get
         for word in words:
             at, end = len(symbol), len(symbol) + len(word) - 1
             starts.append(at)
-            symbol.extend(single[b] for b in word)
+            symbol += [single[b] for b in word]
             before.append(-1)
-            before.extend(range(at, end))
-            after.extend(range(at + 1, end + 1))
+            before += range(at, end)
+            after += range(at + 1, end + 1)
             after.append(-1)
-            for p in range(at, end):
-                r = rank(symbol[p], symbol[p + 1])
-                pair.append(r)
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
+            pair += [first[a << 8 | b] for a, b in zip(word, word[1:])]
             pair.append(-1)
-        heap = list(index)
-        heapify(heap)
-
-        def place(p: int, r: int) -> None:
-            pair[p] = r
+        for p, r in enumerate(pair):
             if r >= 0:
                 if r in index:
                     index[r].append(p)
                 else:
                     index[r] = [p]
-                    heappush(heap, r)
-
+        heap = list(index)
+        heapify(heap)
         while heap:
             r = heappop(heap)
             positions = index.pop(r, None)
@@ -108,18 +101,40 @@ class MergeReplay:
                     continue
                 q = after[p]
                 next_, last = after[q], before[p]
-                symbol[p], after[p], pair[q] = r, next_, -1
-                earlier = False
+                symbol[p] = r
+                after[p] = next_
+                pair[q] = -1
+                least = r
                 if next_ >= 0:
                     before[next_] = p
-                    place(p, new := rank(r, symbol[next_]))
-                    earlier = 0 <= new < r
+                    new = known(r << 24 | symbol[next_])
+                    if new is None:
+                        new = rank(r, symbol[next_])
+                    pair[p] = new
+                    if new >= 0:
+                        if new < least:
+                            least = new
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(heap, new)
                 else:
                     pair[p] = -1
                 if last >= 0:
-                    place(last, new := rank(symbol[last], r))
-                    earlier = earlier or 0 <= new < r
-                if earlier:
+                    new = known(symbol[last] << 24 | r)
+                    if new is None:
+                        new = rank(symbol[last], r)
+                    pair[last] = new
+                    if new >= 0:
+                        if new < least:
+                            least = new
+                        if new in index:
+                            index[new].append(last)
+                        else:
+                            index[new] = [last]
+                            heappush(heap, new)
+                if least < r:
                     hold = p
                     while after[hold] >= 0:
                         hold = after[hold]
