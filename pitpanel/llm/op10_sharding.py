@@ -50,24 +50,26 @@ def propagate(counts: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
     shards = len(capacity)
     state = cut(counts.select("g", "shard", "n"))
     for _ in range(rounds):
-        load = np.zeros(shards)
-        for shard, n in state.groupBy("shard").agg(F.sum("n")).collect():
-            load[shard] = n
+        # A group's homes are the shards that hold most of it, as many as it needs to fit; of
+        # equal shards a hash decides, so that groups don't crowd into the same ones.
+        here = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
+        groups = state.groupBy("g").agg(F.reverse(F.array_sort(F.collect_list(here))).alias("held"), F.sum("n").alias("total"))
+        groups = groups.withColumn("homes", F.slice("held", 1, F.ceil(F.col("total") / max(1, max(capacity))).cast("int")))
+        at_home = F.exists("homes", lambda x: x["shard"] == F.col("shard"))
+        placed = cut(state.join(groups, "g").withColumn("home", at_home))
+        load, settled = np.zeros(shards), np.zeros(shards)
+        for shard, n, m in placed.groupBy("shard").agg(F.sum("n"), F.sum(F.when(F.col("home"), F.col("n")).otherwise(0))).collect():
+            load[shard], settled[shard] = n, m
         room = np.array(capacity) - load
-        free = [s for s in range(shards) if room[s] > 0.01 * capacity[s]]
+        free = [s for s in range(shards) if settled[s] < 0.99 * capacity[s]]
         if not free:
             break
-        # A group's homes are the shards that hold most of it, as many as it needs to fit.
-        held = F.reverse(F.array_sort(F.collect_list(F.struct("n", (-F.col("shard")).alias("minus")))))
-        groups = state.groupBy("g").agg(held.alias("held"), F.sum("n").alias("total"))
-        groups = groups.withColumn("homes", F.slice("held", 1, F.ceil(F.col("total") / max(1, max(capacity))).cast("int")))
-        open_ = lambda x: (-x["minus"]).isin(free)
-        groups = groups.withColumn("to", F.filter("homes", open_))
-        groups = groups.withColumn("to", F.when(F.size("to") > 0, F.col("to")).otherwise(F.slice(F.filter("held", open_), 1, 1)))
-        asks = state.join(groups.filter(F.size("to") > 0).select("g", "homes", "to"), "g")
-        asks = asks.filter(~F.exists("homes", lambda x: -x["minus"] == F.col("shard")))
-        asks = asks.withColumn("to", F.get("to", F.pmod(F.col("shard"), F.size("to"))))
-        asks = asks.select("g", "shard", "n", (-F.col("to.minus")).alias("to"), F.col("to.n").alias("most")).filter("n < most or n = most and to < shard")
+        open_ = lambda x: x["shard"].isin(free)
+        asks = placed.filter(~F.col("home")).withColumn("to", F.filter("homes", open_))
+        asks = asks.withColumn("to", F.when(F.size("to") > 0, F.col("to")).otherwise(F.slice(F.filter("held", open_), 1, 1))).filter(F.size("to") > 0)
+        asks = asks.withColumn("to", F.get("to", F.pmod(F.col("shard"), F.greatest(F.size("to"), F.lit(1)))))
+        asks = asks.filter(F.struct("n", F.xxhash64("g", "shard")) < F.struct(F.col("to.n").alias("n"), F.col("to.tie")))
+        asks = asks.select("g", "shard", "n", F.col("to.shard").alias("to"), F.col("to.n").alias("most"))
         gain = F.floor(F.log2(F.col("most").cast("double"))).cast("int")
         asks = cut(asks.withColumn("rank", (F.lit(62) - gain) * 16 + F.pmod(F.xxhash64("g"), F.lit(16)).cast("int")))
         sums = asks.groupBy("shard", "to", "rank").agg(F.sum("n").alias("n")).collect()
@@ -155,7 +157,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     counts = cut(base.groupBy("g", "shard").agg(F.count("*").alias("n")))
     linked = counts.groupBy("g").agg(F.sum("n").alias("total")).filter("total > 1")
     # Rows are drawn by hash below, so a shard is filled to some deviations under its capacity.
-    state = propagate(counts.join(linked, "g"), [max(0, c - int(4 * c**0.5)) for c in capacity], rounds)
+    state = propagate(counts.join(linked, "g"), [c - min(int(4 * c**0.5), c // 8) for c in capacity], rounds)
     parts = state.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("held"), F.sum("n").alias("total"))
     parts = parts.select(F.col("g").alias("group"), "held", "total")
     # A row takes a shard of its group by hash, in proportion to what the shard holds of it.

@@ -65,7 +65,7 @@ def field():
     texts = []
     for _ in range(300):
         phone = f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}"
-        texts.append(f"call {phone} or {phone} in {rnd.randint(1, 30)} days at {rnd.randint(1, 9)}.{rnd.randint(1, 9)} rate, row {rnd.randint(10, 99)}")
+        texts.append(f"call {phone} or {phone} in {rnd.randint(1, 30)} days at {rnd.randint(1, 9)}.{rnd.randint(1, 9)} rate, about {rnd.randint(200, 999)}-{rnd.randint(1000, 9999)} units, row {rnd.randint(10, 99)}")
     return op5_pii.fit(texts)
 
 
