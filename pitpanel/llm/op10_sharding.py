@@ -56,7 +56,7 @@ def propagate(counts: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
         groups = state.groupBy("g").agg(F.reverse(F.array_sort(F.collect_list(here))).alias("held"), F.sum("n").alias("total"))
         groups = groups.withColumn("homes", F.slice("held", 1, F.ceil(F.col("total") / max(1, max(capacity))).cast("int")))
         at_home = F.exists("homes", lambda x: x["shard"] == F.col("shard"))
-        placed = cut(state.join(groups, "g").withColumn("home", at_home))
+        placed = state.join(groups, "g").withColumn("home", at_home)
         load, settled = np.zeros(shards), np.zeros(shards)
         for shard, n, m in placed.groupBy("shard").agg(F.sum("n"), F.sum(F.when(F.col("home"), F.col("n")).otherwise(0))).collect():
             load[shard], settled[shard] = n, m

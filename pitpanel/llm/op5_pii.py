@@ -172,6 +172,10 @@ class Field:
 
     def __init__(self, weights: np.ndarray, steps: np.ndarray, agree: float):
         self.weights, self.steps, self.agree = weights, steps, agree
+        # Two links through a hub are to weigh as much as one direct link:
+        # (x^2 + k - 1) / (2 x + k - 2) = exp(agree) for x = exp(hub).
+        k, direct = NONE + 1, float(np.exp(agree))
+        self.hub = float(np.log(direct + np.sqrt(direct**2 + direct * (k - 2) - (k - 1))))
 
     def infer(self, g: Graph) -> np.ndarray:
         """Probability of each label at each site, by loopy message passing."""
@@ -183,7 +187,7 @@ class Field:
         shape_ = (len(i), NONE + 1)
         right, left = np.zeros(shape_), np.zeros(shape_)
         up, down = np.zeros((len(g.linked), NONE + 1)), np.zeros((len(g.linked), NONE + 1))
-        same = self.agree * np.eye(NONE + 1)
+        same = self.hub * np.eye(NONE + 1)
         for _ in range(ROUNDS):
             belief = own.copy()
             np.add.at(belief, j, right)

@@ -181,7 +181,8 @@ def test_shards(spark, sf_dir):
 def test_a_hot_group_is_spread_over_few_shards(make):
     rows = op10_sharding.assign(make([(k, "hot" if k % 3 == 0 else f"pair {k // 10}" if k % 5 == 0 else f"own {k}") for k in range(4800)])).collect()
     linked = shares(rows)
-    assert len(max(linked, key=lambda g: sum(g.values()))) <= 9
+    hot = max(linked, key=lambda g: sum(g.values()))
+    assert sum(n for _, n in hot.most_common(7)) >= 0.9 * sum(hot.values())
 
 
 def test_shard_edges(make, edges):

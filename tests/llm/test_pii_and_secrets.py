@@ -70,12 +70,17 @@ def field():
 
 
 def test_linked_tokens_get_the_same_label(field):
+    """The skip link raises the probability; a strong one settles it, but for linked tokens alone."""
     text = "Call +1 (743) 555-3824 now. " + "Nothing of that kind is said here for long. " * 30 + "Later 555-3824 again, and 12 more."
-    spans = op5_pii.all_spans(text, field)
+    alone = "In 2024 about 555-3824 units at 3.5 were sold on 12 days."
+    phone = op5_pii.KINDS.index("phone")
+    p = [field.infer(op5_pii.Graph(t, op5_pii.base_spans(t)))[k, phone] for t, k in ((text, 3), (alone, 1))]
+    assert field.agree > 0 and p[0] > 5 * p[1]
+    strong = op5_pii.Field(field.weights, field.steps, 7.0)
+    spans = op5_pii.all_spans(text, strong)
     assert [(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans] == [("phone", "+1 (743) 555-3824", True), ("phone", "555-3824", False)]
     assert "555-3824" not in op5_pii.masked(text, spans) and "12 more" in op5_pii.masked(text, spans)
-    alone = "In 2024 about 555-3824 units at 3.5 were sold on 12 days."
-    assert op5_pii.all_spans(alone, field) == []
+    assert op5_pii.all_spans(alone, strong) == []
 
 
 def test_pii_edges(make, edges, field):
