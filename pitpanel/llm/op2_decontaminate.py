@@ -33,7 +33,7 @@ from pitpanel.llm.common import bound_batches, id_and_text, map_texts
 
 WINDOW = 13
 #: Benchmark text that is broadcast at once.
-LIMIT_BYTES = 32_000_000
+LIMIT_BYTES = 16_000_000
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -45,55 +45,89 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of benchmark items, by their number of words."""
+    """The windows of benchmark items, by their number of words.
+
+    All items' words are one stream of numbers; a distinct window is its hash, a place in
+    the stream, and the items that have it. Some twenty bytes a window, whatever its words.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.ids = sorted({item for item, _ in items})
         number = {item: k for k, item in enumerate(self.ids)}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        parts, owners, lengths = [], [], []
         for item, text in items:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(size, len(words))
-            for at in range(len(words) - n + 1) if n else ():
-                found.setdefault(n, {}).setdefault(tuple(words[at : at + n]), set()).add(number[item])
-        self.factors = np.random.default_rng(7).integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1)
+            if words:
+                parts.append(np.array(words, np.int32))
+                owners.append(number[item])
+                lengths.append(len(words))
+        self.stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        first = ends - lengths
+        sizes = np.minimum(lengths, size)
         self.tables = {}
-        for n, windows in sorted(found.items()):
-            rows = np.array(list(windows), dtype=np.uint64).reshape(-1, n)
-            hashes = (rows * self.factors[:n]).sum(axis=1, dtype=np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            owners = [np.array(sorted(x), dtype=np.int32) for x in windows.values()]
-            self.tables[n] = hashes[order], rows[order].astype(np.int32), [owners[k] for k in order]
+        for n in sorted(set(sizes.tolist())):
+            mine = np.flatnonzero(sizes == n)
+            places = np.concatenate([np.arange(first[k], ends[k] - n + 1) for k in mine])
+            owner = np.repeat(np.array(owners, np.int32)[mine], np.array(lengths)[mine] - n + 1)
+            seed, table = 7, None
+            while table is None:  # until no two different windows share a hash
+                table = self.table(places, owner, n, seed)
+                seed += 1
+            self.tables[n] = table
+
+    def hashes(self, stream: np.ndarray, places: np.ndarray, factors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.uint64)
+        for k, factor in enumerate(factors):
+            out += stream[places + k].astype(np.uint64) * factor
+        return out
+
+    def table(self, places: np.ndarray, owner: np.ndarray, n: int, seed: int):
+        factors = np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
+        h = self.hashes(self.stream, places, factors)
+        order = np.lexsort((owner, h))
+        h, places, owner = h[order], places[order], owner[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        for k in range(n):
+            if (self.stream[places + k] != self.stream[places[start][group] + k]).any():
+                return None
+        kept = new | np.concatenate([[True], owner[1:] != owner[:-1]])
+        offsets = np.concatenate([np.flatnonzero(new[kept]), [kept.sum()]])
+        return factors, h[start], places[start], owner[kept], offsets
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
         """Marks of hit words, marks of those hit by whole windows, and item ids."""
         known = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         total = np.concatenate([[0], np.cumsum(known > 0)])
         hit = whole = None
-        items: set[int] = set()
-        for n, (hashes, rows, owners) in self.tables.items():
+        items: list[np.ndarray] = []
+        for n, (factors, hashes, places, owners, offsets) in self.tables.items():
             if n > len(words):
                 continue
             at = np.flatnonzero(total[n:] - total[:-n] == n)
             if not len(at):
                 continue
-            sums = np.zeros(len(at), np.uint64)
-            for k in range(n):
-                sums += known[at + k].astype(np.uint64) * self.factors[k]
+            sums = self.hashes(known, at, factors)
             place = np.searchsorted(hashes, sums)
             place[place == len(hashes)] = 0
-            near = np.flatnonzero(hashes[place] == sums)
-            for start, p, s in zip(at[near].tolist(), place[near].tolist(), sums[near]):
-                while p < len(hashes) and hashes[p] == s:
-                    if (rows[p] == known[start : start + n]).all():  # the same words
-                        if hit is None:
-                            hit, whole = np.zeros(len(words), bool), np.zeros(len(words), bool)
-                        hit[start : start + n] = True
-                        whole[start : start + n] |= n == WINDOW
-                        items.update(owners[p].tolist())
-                    p += 1
-        return None if hit is None else (hit, whole, [self.ids[k] for k in sorted(items)])
+            near = hashes[place] == sums
+            at, place = at[near], place[near]
+            for k in range(n):  # the same words
+                same = known[at + k] == self.stream[places[place] + k]
+                at, place = at[same], place[same]
+            if not len(at):
+                continue
+            if hit is None:
+                hit, whole = np.zeros(len(words), bool), np.zeros(len(words), bool)
+            for k in range(n):
+                hit[at + k] = True
+                if n == WINDOW:
+                    whole[at + k] = True
+            items += [owners[offsets[p] : offsets[p + 1]] for p in np.unique(place).tolist()]
+        return None if hit is None else (hit, whole, [self.ids[k] for k in np.unique(np.concatenate(items)).tolist()])
 
 
 def runs(marks: np.ndarray) -> list[tuple[int, int]]:
