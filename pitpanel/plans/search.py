@@ -321,8 +321,8 @@ def prepare(folder: str, force: bool, sealed: str | None) -> None:
     os.makedirs(folder, exist_ok=True)
 
 
-def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, folder: str, classifier: Callable = boosted, force: bool = False, sealed: str | None = None) -> dict:
-    """Exactly ``cfg.budget`` trials; logs trials.jsonl, run.json and out-of-fold tables.
+def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, folder: str, classifier: Callable = boosted, force: bool = False, sealed: str | None = None, oof: bool = True) -> dict:
+    """Exactly ``cfg.budget`` trials; logs trials.jsonl, run.json and, with ``oof``, out-of-fold tables.
 
     What is invalid, degenerate or a repetition costs a trial; any other error stops the run
     and is logged.
@@ -334,7 +334,7 @@ def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, fold
     seen: dict[str, Outcome] = {}
     run = {"arm": arm.name, "config": asdict(cfg), "plan": plan(cfg, len(ev.splits)), "status": "running", "started_at": time.time()}
     save = lambda: replace_json(os.path.join(folder, "run.json"), clean(run))
-    write_oof = lambda name: ev.reference(accepted).write.mode("overwrite").parquet(os.path.join(folder, "oof", name))
+    write_oof = lambda name: oof and ev.reference(accepted).write.mode("overwrite").parquet(os.path.join(folder, "oof", name))
     try:
         run["initial"] = ev.summary(accepted)
         write_oof("reference_00")

@@ -34,8 +34,12 @@ def read_keyed_arrays(spark: SparkSession, path: str, item: str = f"struct<{ARTI
 
     The document is one value; it has to fit in a task. Several files are read side by side.
     """
-    raw = spark.read.option("wholetext", True).text(path)
-    pairs = raw.select(F.explode(F.from_json("value", f"map<string, array<{item}>>")).alias("key", "items"))
+    return keyed_arrays(spark.read.option("wholetext", True).text(path), item)
+
+
+def keyed_arrays(objects: DataFrame, item: str) -> DataFrame:
+    """The same of a column ``value`` with one JSON object a row."""
+    pairs = objects.select(F.explode(F.from_json("value", f"map<string, array<{item}>>")).alias("key", "items"))
     return pairs.select("key", F.posexplode("items").alias("place", "item"))
 
 

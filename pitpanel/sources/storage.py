@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,11 @@ def materialised(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that isn't in use."""
+    checkpoint_dir(spark)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().get()
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
