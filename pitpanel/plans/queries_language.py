@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.plans import compile as language
-from pitpanel.plans.catalog import FIT_UNTIL, QUERIES, SQL, featured, featured_sql, query, r, sql_round
+from pitpanel.plans.catalog import QUERIES, SQL, featured, featured_sql, query, r, sql_round
 from pitpanel.plans.registry import OPS
 from pitpanel.plans.spec import Spec, col, node
 from pitpanel.sources.storage import materialised
@@ -165,6 +165,3 @@ def ag15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g34_duplicate_keys", f"WITH {featured_sql()} SELECT market_ticker, t0, count(*) AS n FROM fx GROUP BY ALL HAVING count(*) > 1")
 def g34(spark: SparkSession, sf_dir: str) -> DataFrame:
     return featured(spark, sf_dir).groupBy("market_ticker", "t0").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-__all__ = ["FIT_UNTIL", "variants", "values"]
