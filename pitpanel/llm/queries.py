@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": op6_secrets.SQL, "op8_url_rules": op8_url_filter.SQL}
+    return {"op2_decontaminate_benchmark": op2_decontaminate.SQL, "op6_secret_scan": op6_secrets.SQL, "op8_url_rules": op8_url_filter.SQL}

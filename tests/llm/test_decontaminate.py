@@ -58,3 +58,8 @@ def test_edges_blocks_and_cleaning(spark, make, edges):
     for empty in (make([]), table):
         assert op.digests(op.find(empty, bench.limit(0))).filter("n_hit > 0").count() == 0
     assert op.find(make([]), bench).count() == 0
+
+
+def test_query_equals_sql(spark, duck, sf_dir):
+    ours = sorted(map(repr, map(tuple, queries.op2_decontaminate_benchmark(spark, sf_dir).collect())))
+    assert ours == sorted(map(repr, duck.sql(op.SQL).fetchall()))
