@@ -23,12 +23,15 @@ def price_features(events: DataFrame, candles: DataFrame, markets: DataFrame, st
     """``events`` with the price features, each from candles at or before t0.
 
     An event is four probes (now and 1, 4, 24 hours ago) among its market's candles; the
-    windows of the last value, the last valid value and the last day share one sort.
+    windows of the last value, the last valid value and the last day share one sort. The
+    present probe carries the event, so events are computed once and not joined back.
     """
     keys = ["market_ticker", "t0"]
     bounds = markets.select("market_ticker", "open_ts", "close_ts")
     rows = events.join(bounds, "market_ticker")
-    probes = rows.select("market_ticker", "t0", F.explode(F.array(*map(F.lit, BACK))).alias("back"))
+    event = F.struct(*events.columns, "open_ts", "close_ts")
+    probes = rows.select("market_ticker", "t0", event.alias("event"), F.explode(F.array(*map(F.lit, BACK))).alias("back"))
+    probes = probes.withColumn("event", F.when(F.col("back") == 0, F.col("event")))
     probes = probes.withColumns({"at": F.col("t0") - F.col("back") * HOUR, "probe": F.lit(1)})
     facts = classified(candles).select(
         "market_ticker", F.col("ts").alias("at"), F.lit(0).alias("probe"), "ts", "state", "mid", "spread", "volume", "open_interest"
@@ -41,13 +44,14 @@ def price_features(events: DataFrame, candles: DataFrame, markets: DataFrame, st
     valid = F.last(F.when(is_fact & F.col("mid").isNotNull(), F.struct("ts", "mid")), True).over(seen)
     mids = F.collect_list(F.when(is_fact & F.col("mid").isNotNull(), F.struct("ts", "mid"))).over(day)
     found = union.select(
-        "market_ticker", "t0", "at", "probe", "back", fact.alias("fact"), valid.alias("last"), F.array_sort(mids).alias("mids"),
+        "market_ticker", "t0", "event", "at", "probe", "back", fact.alias("fact"), valid.alias("last"), F.array_sort(mids).alias("mids"),
         F.sum(F.when(is_fact, F.col("volume"))).over(day).alias("day_volume"), F.count_if(is_fact & (F.col("volume") > 0)).over(day).alias("active"),
     ).filter("probe = 1")
     now = F.col("back") == 0
     fresh = now & (F.col("fact.state") == "valid") & (F.col("at") - F.col("fact.ts") <= staleness_h * HOUR)
     path = F.transform("mids", lambda m: m["mid"])
     wide = found.groupBy(*keys).agg(
+        F.first("event", ignorenulls=True).alias("event"),
         F.max(F.when(fresh, F.col("fact.mid"))).alias("mid"),
         F.max(F.when(fresh, F.col("fact.spread"))).alias("spread"),
         *(
@@ -69,7 +73,7 @@ def price_features(events: DataFrame, candles: DataFrame, markets: DataFrame, st
     order = Window.partitionBy("market_ticker").orderBy("t0")
     mid = F.col("mid")
     return (
-        rows.join(wide, keys)
+        wide.drop(*keys).select("event.*", "*").drop("event")
         .withColumns({"_end": F.lag("t_end").over(order), "_label": F.lag("label").over(order)})
         .select(
             *events.columns,
