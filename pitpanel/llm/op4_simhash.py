@@ -21,12 +21,19 @@ Defined results: a null, empty or blank text has fingerprint zero; so have all l
 and they link as any others. ``component_id`` is the smallest id that isn't null, or null
 if there is none; repeated rows and ids give repeated rows; an empty table gives an
 empty one; other columns are left out. Long texts are hashed in bounded pieces.
+
+``one_of_similar`` is for corpora: it keeps one document of those that exact shingle
+similarity links. A similarity of 0.8 is some 10 of 64 bits on average, which no choice of
+blocks of bits finds in reasonable groups; so the groups are documents that share a band of
+minimum hashes, fingerprints within ``WIDE`` bits are candidates there, and the sets of
+shingles decide. A pair in a group is only passed over when confirmed links of that group
+connect it already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +52,15 @@ FAN = 8
 MEAN = 1024
 PIECE = 4_000_000
 
+#: Of ``one_of_similar``: words in a shingle, and the Jaccard similarity that links.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: At a similarity of 0.8, 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9999 of pairs share a band, and
+#: about one in a million differs in more than WIDE bits.
+BANDS, ROWS, WIDE = 24, 5, 24
+#: Texts of a group that are compared in one task; larger groups are cut into parts.
+TEXTS = 2048
+
 
 def hashes(words: list[bytes], size: int) -> list[int]:
     joined = b" ".join(words)
@@ -64,6 +80,28 @@ def word_pieces(data: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order; that of all words if they are fewer than ``size``."""
+    data = (text or "").encode().lower()
+    found, tail = [], []
+    for words in word_pieces(data):
+        words = tail + words
+        found.append(np.array(hashes(words, size), np.uint64))
+        tail = words[-(size - 1) :] if size > 1 else []
+    out = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    if not len(out) and tail:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)
+    return out
+
+
+def majority(found: np.ndarray) -> np.uint64:
+    """The fingerprint of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(found), 65_536):
+        ones += np.unpackbits(found[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """As a signed 64-bit integer."""
     ones, count, tail = np.zeros(64, np.int64), 0, []
@@ -281,3 +319,99 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE,
     least = keys.groupBy("fp").agg(F.min("key").alias("key"))
     chosen = classes(kept, distance, group).join(least, "fp").groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
     return kept.join(chosen, "row", "left_semi").select("all.*")
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A key for each band of minimum hashes of a set of shingles; none of an empty set."""
+    if not len(found):
+        return []
+    factors = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+    times, plus = factors[0] | np.uint64(1), factors[1]
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(found), 1024):
+        np.minimum(least, (found[k : k + 1024] * times + plus).min(axis=1), out=least)
+    data = [least[k : k + ROWS].tobytes() for k in range(0, len(least), ROWS)]
+    return [int(np.uint64(xxhash.xxh64_intdigest(d, k)).view(np.int64)) for k, d in enumerate(data)]
+
+
+def confirmed(found: list[np.ndarray], side: np.ndarray | None = None, similarity: float = SIMILARITY) -> tuple[list[int], list[int]]:
+    """Links that connect whatever texts, given as shingle hashes, are similar enough.
+
+    With ``side``, only pairs of different sides are compared.
+    """
+    codes = np.array([majority(x) for x in found], np.uint64)
+    sets = [np.unique(x) for x in found]
+    sizes = np.array([len(x) for x in sets])
+    labels, us, vs = np.arange(len(sets)), [], []
+    for k, (own, size) in enumerate(zip(sets, sizes)):
+        near = (labels != labels[k]) & (np.bitwise_count(codes ^ codes[k]) <= WIDE)
+        near[: k + 1] = False
+        if side is not None:
+            near &= side != side[k]
+        near &= np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        every = np.concatenate([sets[x] for x in others])
+        hit = own[np.minimum(np.searchsorted(own, every), size - 1)] == every
+        common = np.add.reduceat(hit, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        linked = others[common >= similarity * (size + sizes[others] - common) - 1e-9]
+        us += [k] * len(linked)
+        vs += linked.tolist()
+        labels[np.isin(labels, labels[linked])] = labels[k]
+    return us, vs
+
+
+def similar_links(groups: DataFrame, texts: DataFrame, size: int, similarity: float, limit: int) -> DataFrame:
+    """``u, v``: confirmed links in ``groups`` (``key, rows``) of ``texts`` (``row, text``)."""
+    parts = F.ceil(F.size("rows") / limit).cast("int")
+    each = groups.select("key", parts.alias("parts"), F.posexplode("rows").alias("at", "row"))
+    each = each.withColumn("part", F.col("at") % F.col("parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "row")
+    dealt = each.hint("merge").join(texts, "row").select("key", "a", "b", "part", "row", "text")
+    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns))
+        for (_, a, b), members in groupby(each, lambda row: row[:3]):
+            found, rows, side = [], [], []
+            for *_, part, row, text in members:
+                found.append(shingles(text, size))
+                rows.append(row)
+                side.append(part)
+            u, v = confirmed(found, None if a == b else np.array(side), similarity)
+            if u:
+                at = np.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(at[u]), pa.array(at[v])], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE, limit: int = TEXTS) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: that of the smallest id, null last.
+
+    Rows of one set of shingles are one node, so that copies cost nothing. Groups of the
+    same nodes under different bands are compared once. Texts are shuffled twice, to their
+    groups and to the choice; members of groups grow with the table and aren't broadcast.
+    """
+
+    def work() -> Callable[[list[str]], list[tuple]]:
+        def one(text: str) -> tuple:
+            found = np.unique(shingles(text, size))
+            return xxhash.xxh3_128_digest(found.tobytes()), bands(found)
+
+        return lambda texts: [one(text) for text in texts]
+
+    fields = [("digest", "binary", pa.binary()), ("bands", "array<bigint>", pa.list_(pa.int64()))]
+    found = map_texts(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), fields, work)
+    kept = store(found.select(F.col("doc_id").alias("all"), "digest", "bands").withColumn("row", F.monotonically_increasing_id()), "similar")
+    key = F.struct(F.col("all.doc_id").isNull().alias("none"), F.col("all.doc_id").alias("doc_id"), "row").alias("key")
+    nodes = cut(kept.select("digest", "bands", key).groupBy("digest").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
+    nodes = nodes.select("key", F.col("key.row").alias("row"), "bands")
+    banded = nodes.select("row", F.explode("bands").alias("key"))
+    groups = banded.repartition("key").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows")).filter(F.size("rows") > 1)
+    groups = store(groups.groupBy("rows").agg(F.min("key").alias("key")), "groups")
+    linked = components(similar_links(groups, kept.select("row", "all.text"), size, similarity, limit))
+    named = nodes.join(linked, nodes["row"] == linked["node"], "left").groupBy(F.coalesce("root", "row").alias("root"))
+    chosen = named.agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
+    return kept.join(chosen, "row", "left_semi").select("all.*")

@@ -51,3 +51,11 @@ def test_empty(spark, planted):
     docs = spark.read.parquet(f"{planted}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, planted).count() == 0
+
+
+def test_near_copies_beyond_four_bits_go(spark):
+    words = [f"w{k}" for k in range(100)]
+    docs = [(k, " ".join(words[:at] + ["other"] + words[at + 1 :]), "en", "s", 0) for k, at in enumerate([20, 50, 80])]
+    docs += [(9, " ".join(words[:50]) + " " + " ".join(f"v{k}" for k in range(50)), "en", "s", 0)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == [0, 9]

@@ -109,3 +109,56 @@ def test_one_of_each(make):
     docs = [(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (9, "quite another text is here"), (None, "odd words alone stand now")]
     kept = op.one_of_each(make(docs)).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["2", "9", "None"] and kept[0].__fields__ == make(docs).columns
+
+
+def jaccard(a, b, size=5):
+    one, two = ({tuple(t.split()[k : k + size]) for k in range(len(t.split()) - size + 1)} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def near_copies(bases=40, seed=3):
+    """Texts of 60 to 200 words and copies of them with one to four words changed, by id."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for k in range(bases):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 200))]
+        docs.append((10 * k, " ".join(words)))
+        for n in range(1, 5):
+            other = list(words)
+            for at in rng.choice(len(words), n, replace=False):
+                other[at] = f"changed{n}{at}"
+            docs.append((10 * k + n, " ".join(other)))
+    return docs
+
+
+def least_similar(docs):
+    """Ids that stay, by brute force: links at 0.8 of five-word shingles."""
+    label = {d: d for d, _ in docs}
+    for k, (a, x) in enumerate(docs):
+        for b, y in docs[k + 1 :]:
+            if a // 10 == b // 10 and jaccard(x, y) >= 0.8:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {d: new if c == old else c for d, c in label.items()}
+    return sorted(set(label.values()))
+
+
+def test_similar_texts_leave_one(make):
+    docs = near_copies()
+    want = least_similar(docs)
+    assert 40 <= len(want) < 100
+    for limit in (op.TEXTS, 2):
+        assert sorted(r["doc_id"] for r in op.one_of_similar(make(docs), limit=limit).collect()) == want
+
+
+def test_similar_edges(make, edges):
+    docs = [(30, "one two three"), (31, "ONE two\tthree"), (32, "one two three four"), (None, "one two three"), *edges]
+    kept = op.one_of_similar(make(docs)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "30", "32", "4", "6"] and kept[0].__fields__ == make(docs).columns
+    assert op.one_of_similar(make([])).count() == 0
+
+
+def test_similar_in_pieces(monkeypatch):
+    text = " ".join(f"word{k % 97}" for k in range(3000))
+    whole = op.shingles(text, 5)
+    monkeypatch.setattr(op, "PIECE", 500)
+    assert len(whole) == 2996 and (op.shingles(text, 5) == whole).all()
