@@ -242,10 +242,9 @@ def ml6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml3_forest_cross_validation")
 def ml3(spark: SparkSession, d: str) -> DataFrame:
-    """Spark's random forest over the first two folds."""
+    """Spark's random forest over all folds."""
     rows = materialised(featured(spark, d, True))
-    folds = splits.walk_forward(rows).filter("fold <= 2")
-    return model.cross_validate(rows, folds, FEATURES, [0], model.forest, trees=10, depth=5)
+    return model.cross_validate(rows, splits.walk_forward(rows), FEATURES, [0], model.forest, trees=10, depth=5)
 
 
 @query("ml2_text_scores")

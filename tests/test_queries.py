@@ -7,6 +7,8 @@ import math
 import pytest
 
 import __spark_entry__
+from pitpanel.operators import splits
+from pitpanel.plans import queries_scores
 from pitpanel.plans.catalog import QUERIES, SQL
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -40,3 +42,11 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_forest_is_validated_on_all_folds(spark, sf_dir, monkeypatch):
+    given = {}
+    monkeypatch.setattr(queries_scores.model, "cross_validate", lambda rows, folds, *args, **kw: given.update(rows=rows, folds=folds))
+    queries_scores.ml3(spark, sf_dir)
+    want = {r[0] for r in splits.walk_forward(given["rows"]).select("fold").distinct().collect()}
+    assert max(want) > 2 and {r[0] for r in given["folds"].select("fold").distinct().collect()} == want
