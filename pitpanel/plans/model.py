@@ -248,7 +248,7 @@ def lexicon(texts: list[str]) -> list[tuple[float, float, float]]:
     """(positive, negative, neutral) by counts of words: a stand-in for a language model."""
     out = []
     for text in texts:
-        words = text.lower().split()[:512]
+        words = text.lower().split()
         up, down = sum(w in GOOD for w in words), sum(w in BAD for w in words)
         total = up + down + 1.0
         out.append((up / total, down / total, 1.0 / total))

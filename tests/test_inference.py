@@ -185,3 +185,7 @@ def test_report(spark):
     events = spark.createDataFrame(df)
     out = model.report(events, splits.walk_forward(events, 3), ["mid", "spread"], [0], draws=100, n_estimators=5)
     assert set(out["pooled_macro_f1"]) == {"model", "majority", "no_change", "momentum", "random"} and out["keep_rule"]["verdict"] in ("KEPT", "NEUTRAL", "REGRESSED")
+
+
+def test_lexicon_counts_all_words():
+    assert model.lexicon(["word " * 600 + "gain"]) == [(0.5, 0.0, 0.5)]
