@@ -29,6 +29,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def by_position(docs: DataFrame) -> DataFrame:
+    """The same rows under column names by place, so that no name can clash or need quotes.
+
+    ``toDF(*docs.columns)`` gives them their names back.
+    """
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """The texts in order, null as empty, in lists of bounded total length."""
     held: list[str] = []

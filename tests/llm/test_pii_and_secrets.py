@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from pitpanel.llm import op5_pii, op6_secrets, queries
@@ -59,28 +64,111 @@ def test_pii_query(spark, sf_dir):
         assert set(named) <= set(r["spans"].split(",")) | {""} or not named
 
 
+def planted(n, seed):
+    """Texts that name one thing in full and again, more plainly, elsewhere; where the others stand."""
+    rnd = random.Random(seed)
+    words = lambda: " ".join(rnd.choice(["the", "of", "model", "rate", "was"]) for _ in range(rnd.randint(3, 30)))
+    texts, places = [], []
+    for k in range(n):
+        a, b, c = rnd.randint(200, 999), rnd.randint(200, 999), rnd.randint(1000, 9999)
+        full, others = [
+            (f"+1 ({a}) {b}-{c}", [f"{b}-{c}", f"{a}-{b}-{c}", f"({a}){b}-{c}", f"{a}{b}{c}"]),
+            (f"jo.{'abcdef'[a % 6]}{a}@mail.example.com", [f"jo.{'abcdef'[a % 6]}{a}"]),
+            (f"+49 {a} {b}{c}", [f"{b}{c}", f"0{a}/{b}{c}"]),
+            (f"user_{a}x@site{b}.org", [f"user_{a}x"]),
+        ][k % 4]
+        text, stand = f"{words()} {full} {words()} ", set()
+        for _ in range(rnd.randint(1, 6)):
+            other = rnd.choice(others)
+            stand.add((len(text), len(text) + len(other)))
+            text += f"{other} {words()} "
+            text += rnd.choice([f"{rnd.randint(1, 99)} ", f"{rnd.randint(100, 999)}-{rnd.randint(1000, 9999)} ", f"v{rnd.randint(1, 9)}.{rnd.randint(0, 9)} ", ""])
+        texts.append(text)
+        places.append(stand)
+    return texts, places
+
+
 @pytest.fixture(scope="module")
-def field():
-    rnd = random.Random(2)
-    texts = []
-    for _ in range(300):
-        phone = f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}"
-        texts.append(f"call {phone} or {phone} in {rnd.randint(1, 30)} days at {rnd.randint(1, 9)}.{rnd.randint(1, 9)} rate, about {rnd.randint(200, 999)}-{rnd.randint(1000, 9999)} units, row {rnd.randint(10, 99)}")
-    return op5_pii.fit(texts)
+def field(spark, sf_dir):
+    """Learnt from the test table, which has next to no repeated identifiers."""
+    return op5_pii.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def test_learnt_weights_carry_labels_to_other_mentions(field):
+    texts, places = planted(400, 5)
+    found = [{(s["start"], s["end"]) for s in spans if not s["base"]} for spans in op5_pii.all_spans(texts, field)]
+    right = sum(len(a & b) for a, b in zip(found, places))
+    assert right >= 0.9 * sum(map(len, places)) and right >= 0.95 * sum(map(len, found))
 
 
-def test_linked_tokens_get_the_same_label(field):
-    """The skip link raises the probability; a strong one settles it, but for linked tokens alone."""
+def test_unlinked_tokens_stay(field):
     text = "Call +1 (743) 555-3824 now. " + "Nothing of that kind is said here for long. " * 30 + "Later 555-3824 again, and 12 more."
-    alone = "In 2024 about 555-3824 units at 3.5 were sold on 12 days."
-    phone = op5_pii.KINDS.index("phone")
-    p = [field.infer(op5_pii.Graph(t, op5_pii.base_spans(t)))[k, phone] for t, k in ((text, 3), (alone, 1))]
-    assert field.agree > 0 and p[0] > 5 * p[1]
-    strong = op5_pii.Field(field.weights, field.steps, 7.0)
-    spans = op5_pii.all_spans(text, strong)
-    assert [(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans] == [("phone", "+1 (743) 555-3824", True), ("phone", "555-3824", False)]
-    assert "555-3824" not in op5_pii.masked(text, spans) and "12 more" in op5_pii.masked(text, spans)
-    assert op5_pii.all_spans(alone, strong) == []
+    spans = op5_pii.all_spans([text, "In 2024 about 555-3824 units at 3.5 were sold on 12 days."], field)
+    assert [(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans[0]] == [("phone", "+1 (743) 555-3824", True), ("phone", "555-3824", False)]
+    assert "555-3824" not in op5_pii.masked(text, spans[0]) and "12 more" in op5_pii.masked(text, spans[0])
+    assert spans[1] == []
+
+
+def enumerated(field, g):
+    """Exact marginals: every labelling of the sites and hubs without an observed label."""
+    n, free = len(g.labels), [k for k in range(len(g.labels)) if g.labels[k] < 0]
+    own = op5_pii.scores(g.x, field.weights).astype(float)
+    hubs = sorted({int(g.hub[k]) for k in free if g.hub[k] >= 0 and sum(g.hub[j] == g.hub[k] for j in free) > 1})
+    out = np.zeros((n, op5_pii.LABELS))
+    for y in itertools.product(range(op5_pii.LABELS), repeat=len(free)):
+        full = g.labels.astype(int).copy()
+        full[free] = y
+        score = sum(own[k, full[k]] + field.agree * (g.seen[k] == full[k]) for k in free)
+        score += sum(field.steps[full[k], full[k + 1]] for k in range(n - 1) if g.next_to[k] and (g.labels[k] < 0 or g.labels[k + 1] < 0))
+        for hub in hubs:
+            members = [k for k in free if g.hub[k] == hub]
+            score += np.log(sum(np.exp(field.hub * sum(full[k] == h for k in members)) for h in range(op5_pii.LABELS)))
+        for k in range(n):
+            out[k, full[k]] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_messages_equal_enumeration():
+    rnd = np.random.default_rng(3)
+    trees = ["a1 b2 12", "7654321 x1 y2 z3", "7654321 word 7654321 q word 7654321", "+1 (743) 555-3824 x 5553824 y1", "5553824 5553824 5 6", "a.b1@c.de x a.b1 3 x y a.b1 4"]
+    loops = ["7654321 1 7654321", "7654321 1 7654321 2 3 7654321", "abc12 4 abc12 abc12 5"]
+    for text in trees + loops:
+        g = op5_pii.Graph([text], [op5_pii.base_spans(text)])
+        for _ in range(5):
+            f = op5_pii.Field(rnd.normal(0, 1, (op5_pii.FEATURES, op5_pii.LABELS)), rnd.normal(0, 0.7, (op5_pii.LABELS, op5_pii.LABELS)), 1.5)
+            f.weights[op5_pii.BLANK] = 0
+            assert np.abs(f.infer(g) - enumerated(f, g)).max() < (1e-3 if text in trees else 0.1)
+
+
+def test_dense_tokens_take_bounded_time_and_memory():
+    code = """
+import resource, time
+from pitpanel.llm import op5_pii as op
+f = op.fit(["call +1 (743) 555-3824 or 3 4 5"])
+text = "7a " * 2_000_000 + " ".join(f"{k}-{k * 7919 % 10000}" for k in range(400_000))
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+op.all_spans([text], f)
+print(len(text), time.process_time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True, timeout=300)
+    size, seconds, megabytes = map(float, done.stdout.split())
+    assert size > 10_000_000 and seconds < 18 and megabytes < 900
+
+
+def test_the_field_is_the_same_for_any_partitioning(spark):
+    texts = planted(60, 9)[0]
+    rows = [(t,) for t in texts] + [(texts[0],)] * 500 + [(None,)]
+    table = spark.createDataFrame(rows, "text string")
+    fields = [op5_pii.learn(t, sample=20) for t in (table.repartition(1), table.repartition(7), spark.createDataFrame(rows[::-1], "text string"))]
+    for f in fields[1:]:
+        assert (f.weights == fields[0].weights).all() and (f.steps == fields[0].steps).all() and f.agree == fields[0].agree
+
+
+def test_long_texts_are_split_as_short_ones(monkeypatch):
+    text = " ".join(noise(["a1", "7654321", "x@y.de", "word", "12.5", "é", "  "], 200, 8, 6))
+    whole = op5_pii.sites(text)
+    monkeypatch.setattr(op5_pii, "PIECE", 50)
+    assert all((a == b).all() for a, b in zip(whole, op5_pii.sites(text)))
 
 
 def test_pii_edges(make, edges, field):
