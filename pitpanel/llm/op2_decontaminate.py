@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import bound_batches, id_and_text, map_texts
+from pitpanel.llm.common import bound_batches, by_position, id_and_text, map_texts
 
 WINDOW = 13
 #: Benchmark text that is broadcast at once.
@@ -248,13 +248,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMIT_BYTES)
     """
     items, blocks, key = items_of(benchmark, limit_bytes)
     bound_batches(docs.sparkSession)
-    names, schema = docs.columns, docs.schema
-    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     marks = pa.list_(pa.list_(pa.int32()))
-    rows = docs
+    rows = by_position(docs)
+    names, schema = rows.columns, rows.schema
     for k in range(blocks):
         rows = _pass(rows, read(items.filter(key == k) if blocks > 1 else items), names, k == 0, k == blocks - 1, text_at, chars_at, marks, schema)
-    return rows
+    return rows.toDF(*docs.columns)
 
 
 def _pass(rows, windows, names, first, last, text_at, chars_at, marks, schema) -> DataFrame:

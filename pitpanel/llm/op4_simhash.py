@@ -11,7 +11,8 @@ bits that eight neighbours share into a node above them, again and again. A sear
 down from the root, adds up the differences on each node's own bits, and leaves whole
 subtrees as soon as the sum is too large. More fingerprints take more bits for a group,
 which alters how many comparisons there are but not what is found. A group of more than
-``GROUP`` fingerprints is cut into parts, and each pair of parts is searched by itself.
+``GROUP`` fingerprints is dealt again by blocks of its other bits, ``LEVELS`` times at most;
+what is still too large is cut into parts, and each pair of parts is searched by itself.
 
 A group hands on a spanning forest of its links, fewer rows than it has fingerprints.
 Components come from Spark joins (large and small stars in turn, minimum labels), and
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import cut, id_and_text, map_texts, store
+from pitpanel.llm.common import by_position, cut, id_and_text, map_texts, store
 
 DISTANCE = 4
 SHINGLE = 4
@@ -60,6 +61,11 @@ SIMILARITY = 0.8
 BANDS, ROWS, WIDE = 24, 5, 24
 #: Texts of a group that are compared in one task; larger groups are cut into parts.
 TEXTS = 2048
+#: How often a group that is too large is dealt again before it is cut into parts.
+LEVELS = 2
+#: Rows of a table that may be broadcast: a key with more than 1 / HOT of all rows is one of
+#: fewer than HOT.
+HOT = 100_000
 
 
 def hashes(words: list[bytes], size: int) -> list[int]:
@@ -209,30 +215,69 @@ def plan(count: int, distance: int) -> tuple[int, int]:
     return blocks, shared
 
 
-def group_keys(fp: Column, blocks: int, shared: int) -> Column:
-    """For each choice of ``shared`` blocks: its number and its bits, both as integers."""
+def choices(blocks: int, shared: int) -> list[int]:
+    """The mask of the bits of each choice of ``shared`` blocks."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    out = []
-    for number, chosen in enumerate(combinations(masks, shared)):
-        mask = sum(chosen)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        out.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")))
-    return F.array(*out)
+    return [sum(chosen) for chosen in combinations(masks, shared)]
+
+
+def further(mask: int, distance: int) -> list[int]:
+    """The mask with each of ``distance`` + 1 blocks of the other bits: codes that agree on the
+    mask and differ in ``distance`` bits at most agree on one of these, too."""
+    rest = [k for k in range(64) if not mask >> k & 1]
+    blocks = [rest[len(rest) * k // (distance + 1) : len(rest) * (k + 1) // (distance + 1)] for k in range(distance + 1)]
+    return [mask | sum(1 << k for k in block) for block in blocks if block]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def group_keys(fp: Column, masks: list[int], first: int = 0) -> Column:
+    """For each mask: its number, counted from ``first``, and the code's bits under it."""
+    return F.array(*(F.struct(F.lit(first + k).alias("choice"), fp.bitwiseAND(F.lit(signed(m)).cast("bigint")).alias("bits")) for k, m in enumerate(masks)))
+
+
+def dealt_by(codes: DataFrame, masks: list[int], distance: int, group: int) -> DataFrame:
+    """``fp, choice, bits, part, other``: codes in groups in which every link lies in some group.
+
+    A group of more than ``group`` codes is dealt again by ``further`` bits, ``LEVELS`` times at
+    most; what is still too large is cut into parts, of which each meets each.
+    """
+    keyed = codes.select("fp", F.explode(group_keys(F.col("fp"), masks)).alias("key")).select("fp", "key.choice", "key.bits")
+    whole, number = None, len(masks)
+    numbered = dict(enumerate(masks))
+    for level in range(LEVELS + 1):
+        large = cut(keyed.groupBy("choice", "bits").count().filter(F.col("count") > group))
+        n = large.count()
+        if not n:
+            break
+        # Beyond HOT groups the table is shuffled, and Spark splits skewed partitions.
+        held = F.broadcast(large) if n <= HOT else large
+        rest = keyed.join(held, ["choice", "bits"], "left_anti")
+        whole = rest if whole is None else whole.unionByName(rest)
+        keyed = keyed.join(held, ["choice", "bits"])
+        if level == LEVELS:
+            parts = F.ceil(F.col("count") / group).cast("int")
+            part = F.pmod(F.xxhash64("fp", F.lit("part")), parts).cast("int").alias("part")
+            keyed = keyed.select("fp", "choice", "bits", part, F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            return whole.withColumns({"part": F.lit(0), "other": F.lit(0)}).unionByName(keyed)
+        again = None
+        for choice in sorted(r[0] for r in large.select("choice").distinct().collect()):
+            masks = further(numbered[choice], distance)
+            made = keyed.filter(F.col("choice") == choice).select("fp", F.explode(group_keys(F.col("fp"), masks, number)).alias("key"))
+            again = made if again is None else again.unionByName(made)
+            numbered |= dict(enumerate(masks, number))
+            number += len(masks)
+        keyed = cut(again.select("fp", "key.choice", "key.bits"))
+    whole = keyed if whole is None else whole.unionByName(keyed)
+    return whole.withColumns({"part": F.lit(0), "other": F.lit(0)})
 
 
 def links(codes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """``u, v`` with u > v: edges that connect linked codes; ``codes`` has distinct ``fp``."""
-    blocks, shared = plan(codes.count(), distance)
-    keyed = codes.select("fp", F.explode(group_keys(F.col("fp"), blocks, shared)).alias("key")).select("fp", "key.choice", "key.bits")
-    large = cut(keyed.groupBy("choice", "bits").count().filter(F.col("count") > group))
-    if large.count():
-        parts = F.ceil(F.col("count") / group).cast("int")
-        keyed = keyed.join(large, ["choice", "bits"], "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
-        keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int"))
-        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    else:
-        keyed = keyed.withColumns({"part": F.lit(0), "other": F.lit(0)})
+    keyed = dealt_by(codes, choices(*plan(codes.count(), distance)), distance, group)
     keyed = keyed.select("choice", "bits", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
     dealt = keyed.repartition("choice", "bits", "a", "b").sortWithinPartitions("choice", "bits", "a", "b")
 
@@ -271,16 +316,28 @@ def _and_none(batches: Iterator) -> Iterator:
     yield None
 
 
+def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and ``n``, the number of its rows.
+
+    Keys of more than 1 / HOT of the ``total`` rows, of which there are fewer than HOT, are
+    joined where their rows are; the others by a shuffle, in which no key is large.
+    """
+    hot = table.filter(F.col("n") > total / HOT)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= total / HOT), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold).drop("n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for the nodes of the edges ``u, v``: the root is the least node."""
-    state = None
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = (edges.count(), None)
     while True:
+        total = 2 * state[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = meet(both, least, "u", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = meet(large, least, "u", total)
         small = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -299,28 +356,14 @@ def classes(found: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> D
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each document."""
     found = cut(fingerprints(docs, size, id_col, text_col))
-    least = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     member = cut(classes(found, distance, group).join(least, "fp"))
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    each = member.join(named, "root").select(F.col("fp").alias("code"), "component_id")
-    out = found.join(each, found["fp"] == each["code"])
+    named = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    each = meet(member, named, "root", member.count()).select("fp", "component_id", F.col("copies").alias("n"))
+    out = meet(found, each, "fp", found.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, group: int = GROUP) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, null last.
-
-    The rows are written once with a number and their fingerprint, so that the choice
-    and the rows chosen from are the same whatever has to be computed again.
-    """
-    found = fingerprints(docs.select(F.struct(*docs.columns).alias("all"), "text"), size, "all")
-    kept = store(found.select(F.col("doc_id").alias("all"), "fp").withColumn("row", F.monotonically_increasing_id()), "simhash")
-    keys = kept.select("fp", F.struct(F.col("all.doc_id").isNull().alias("none"), F.col("all.doc_id").alias("doc_id"), "row").alias("key"))
-    least = keys.groupBy("fp").agg(F.min("key").alias("key"))
-    chosen = classes(kept, distance, group).join(least, "fp").groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
-    return kept.join(chosen, "row", "left_semi").select("all.*")
-
-
 def bands(found: np.ndarray) -> list[int]:
     """A key for each band of minimum hashes of a set of shingles; none of an empty set."""
     if not len(found):
@@ -362,37 +405,69 @@ def confirmed(found: list[np.ndarray], side: np.ndarray | None = None, similarit
     return us, vs
 
 
-def similar_links(groups: DataFrame, texts: DataFrame, size: int, similarity: float, limit: int) -> DataFrame:
-    """``u, v``: confirmed links in ``groups`` (``key, rows``) of ``texts`` (``row, text``)."""
-    parts = F.ceil(F.size("rows") / limit).cast("int")
-    each = groups.select("key", parts.alias("parts"), F.posexplode("rows").alias("at", "row"))
-    each = each.withColumn("part", F.col("at") % F.col("parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    each = each.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "row")
-    dealt = each.hint("merge").join(texts, "row").select("key", "a", "b", "part", "row", "text")
-    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+def compared(dealt: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``u, v``: confirmed links of ``key, part, side, row`` with ``texts`` (``row, text``).
+
+    Rows of one key and part are compared; of those with a side, pairs of two sides only.
+    """
+    rows = dealt.hint("merge").join(texts, "row").select("key", "part", "side", "row", "text")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns))
-        for (_, a, b), members in groupby(each, lambda row: row[:3]):
+        for _, members in groupby(each, lambda row: row[:2]):
             found, rows, side = [], [], []
-            for *_, part, row, text in members:
+            for _, _, s, row, text in members:
                 found.append(shingles(text, size))
                 rows.append(row)
-                side.append(part)
-            u, v = confirmed(found, None if a == b else np.array(side), similarity)
+                side.append(s)
+            u, v = confirmed(found, None if side[0] is None else np.array(side), similarity)
             if u:
                 at = np.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(at[u]), pa.array(at[v])], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(run, "u bigint, v bigint")
+
+
+def similar(members: DataFrame, groups: DataFrame, texts: DataFrame, size: int, similarity: float, limit: int) -> DataFrame:
+    """``node, root``: components of the links in ``groups`` (``key, n, pivot``) of ``members`` (``key, row``).
+
+    A group of more than ``limit`` rows is cut into parts. First each part is compared in itself
+    and with the group's pivot, which joins what is like the pivot in all of them. Then the
+    rows outside the group's largest component meet the other parts; pairs of one component are
+    connected already, so no link is lost, and a group of near copies takes no pairs of parts.
+    """
+    total = members.count()
+    each = meet(members, groups.withColumn("count", F.col("n")), "key", total)
+    parts = F.ceil(F.col("count") / limit).cast("int")
+    part = F.pmod(F.xxhash64("row"), parts).cast("int")
+    each = cut(each.select("key", "row", "pivot", "count", parts.alias("parts"), part.alias("part")))
+    side = F.lit(None).cast("bigint").alias("side")
+    first = each.select("key", "part", side, "row")
+    pivots = groups.filter(F.col("n") > limit).select("key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / limit).cast("int") - 1)).alias("part"), side, F.col("pivot").alias("row"))
+    pivots = pivots.join(each.filter("row = pivot").select("key", F.col("part").alias("own")), "key").filter("part <> own").drop("own")
+    linked = cut(compared(first.unionByName(pivots), texts, size, similarity).distinct())
+    found = components(linked)
+    large = each.filter(F.col("count") > limit)
+    if not large.limit(1).count():
+        return found
+    labelled = cut(large.join(found, large["row"] == found["node"], "left").select(*large.columns, F.coalesce("root", "row").alias("side")))
+    most = labelled.groupBy("key", "side").count().groupBy("key").agg(F.max_by("side", F.struct("count", "side")).alias("most"), F.sum("count").alias("n"))
+    outside = meet(labelled, most, "key", total).filter("side <> most").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    outside = cut(outside.filter("to <> part").select("key", F.col("to").alias("part"), "side", "row"))
+    wanted = outside.select("key", "part").distinct()
+    inside = labelled.join(wanted, ["key", "part"], "left_semi").select("key", "part", "side", "row")
+    return components(linked.unionByName(compared(outside.unionByName(inside), texts, size, similarity)))
 
 
 def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE, limit: int = TEXTS) -> DataFrame:
     """``docs`` with one row of each component of similar texts: that of the smallest id, null last.
 
-    Rows of one set of shingles are one node, so that copies cost nothing. Groups of the
-    same nodes under different bands are compared once. Texts are shuffled twice, to their
-    groups and to the choice; members of groups grow with the table and aren't broadcast.
+    Rows of one set of shingles are one node, so that copies cost nothing; of equal ids the row
+    that is read first stays. Null, empty and blank texts are one node. Groups of the same nodes
+    under different bands (by their number and two sums of hashes) are compared once. All
+    columns are kept, whatever their names. Texts are shuffled twice, to their groups and to
+    the choice; members of groups grow with the table and aren't broadcast.
     """
 
     def work() -> Callable[[list[str]], list[tuple]]:
@@ -402,16 +477,19 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
         return lambda texts: [one(text) for text in texts]
 
+    plain = by_position(docs)
+    text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
     fields = [("digest", "binary", pa.binary()), ("bands", "array<bigint>", pa.list_(pa.int64()))]
-    found = map_texts(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), fields, work)
+    found = map_texts(plain.select(F.struct(*plain.columns).alias("doc_id"), F.col(text).cast("string").alias("text")), fields, work)
     kept = store(found.select(F.col("doc_id").alias("all"), "digest", "bands").withColumn("row", F.monotonically_increasing_id()), "similar")
-    key = F.struct(F.col("all.doc_id").isNull().alias("none"), F.col("all.doc_id").alias("doc_id"), "row").alias("key")
+    key = F.struct(F.col(f"all.{doc_id}").isNull().alias("none"), F.col(f"all.{doc_id}").alias("doc_id"), "row").alias("key")
     nodes = cut(kept.select("digest", "bands", key).groupBy("digest").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
     nodes = nodes.select("key", F.col("key.row").alias("row"), "bands")
-    banded = nodes.select("row", F.explode("bands").alias("key"))
-    groups = banded.repartition("key").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows")).filter(F.size("rows") > 1)
-    groups = store(groups.groupBy("rows").agg(F.min("key").alias("key")), "groups")
-    linked = components(similar_links(groups, kept.select("row", "all.text"), size, similarity, limit))
+    members = cut(nodes.select("row", F.explode("bands").alias("key")))
+    sums = (F.bit_xor(F.xxhash64("row")).alias("mixed"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("sum"))
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("pivot"), *sums).filter("n > 1")
+    groups = cut(groups.groupBy("n", "pivot", "mixed", "sum").agg(F.min("key").alias("key")).select("key", "n", "pivot"))
+    linked = similar(members, groups, kept.select("row", F.col(f"all.{text}").cast("string").alias("text")), size, similarity, limit)
     named = nodes.join(linked, nodes["row"] == linked["node"], "left").groupBy(F.coalesce("root", "row").alias("root"))
     chosen = named.agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
-    return kept.join(chosen, "row", "left_semi").select("all.*")
+    return kept.join(chosen, "row", "left_semi").select("all.*").toDF(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import CHUNK_CHARS, chunks, id_and_text, map_texts
+from pitpanel.llm.common import CHUNK_CHARS, by_position, chunks, id_and_text, map_texts
 
 SIZE = 300
 UNKNOWN = "und"
@@ -173,6 +173,7 @@ def train_and_predict(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id")
 
 
 def known_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` without the rows of which no language is told."""
-    rows = docs.select(F.struct(*docs.columns).alias("all"), "text")
-    return predict(rows, profiles, "all").filter(F.col("lang_pred") != UNKNOWN).select("doc_id.*")
+    """``docs`` without the rows of which no language is told; all columns stay, whatever their names."""
+    plain = by_position(docs)
+    rows = plain.select(F.struct(*plain.columns).alias("row"), plain[docs.columns.index("text")].alias("text"))
+    return predict(rows, profiles, "row").filter(F.col("lang_pred") != UNKNOWN).select("doc_id.*").toDF(*docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 import pytest
 
+from pitpanel.llm import op2_decontaminate, op4_simhash
+
 
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
@@ -59,3 +61,41 @@ def test_near_copies_beyond_four_bits_go(spark):
     docs += [(9, " ".join(words[:50]) + " " + " ".join(f"v{k}" for k in range(50)), "en", "s", 0)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == [0, 9]
+
+
+def odd_table(spark, rows):
+    """Documents among columns with dots, quotes and the names that stages use inside."""
+    kind = "doc_id bigint, `a.b` string, text string, `_hits` array<array<int>>, `_whole` int, all int, row int, fp bigint, lang string, digest binary, bands int, source string, n_chars bigint, c0 int, `q``x` int"
+    full = [(i, "dot", t, [[1, 2]], 1, 2, 3, 4, "en", b"x", 5, "s", len(t or ""), 6, 7) for i, t in rows]
+    return spark.createDataFrame(full, kind)
+
+
+def test_stages_take_any_columns_nulls_repeats_and_long_texts(spark, tmp_path, monkeypatch):
+    english = "the and of is that with for this are was by from in to it on be "
+    item = " ".join(f"question{k} answer{k}" for k in range(12))
+    long = " ".join(f"{english}{k}" for k in range(75_000))
+    rows = [(1, english * 3), (1, english * 3), (2, None), (2, None), (3, ""), (None, english + "other words here are told"), (4, long), (5, item), (6, english * 90 + item)]
+    spark.createDataFrame([(1, item), (2, "some other words " * 9)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd_table(spark, rows)
+    columns, kind = docs.columns, docs.dtypes
+    assert len(long) > 5_000_000
+    monkeypatch.setattr(op2_decontaminate.clean, "__defaults__", (100,))  # several blocks
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.store(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns and docs.dtypes == kind
+        left[name] = sorted(str(r["doc_id"]) for r in docs.collect())
+    assert left["language"] == ["1", "1", "4", "5", "6", "None"]
+    assert left["near_duplicates"] == ["1", "4", "5", "6", "None"]
+    assert left["decontamination"] == left["personal_data"] == ["1", "4", "6", "None"]
+    assert docs.filter("doc_id = 4").select("text").first()[0] == long and docs.select("`a.b`").distinct().collect() == [("dot",)]
+    assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).filter("n_tokens > 1000000").count() == 1
+
+
+def test_a_large_group_of_near_copies_takes_no_pairs_of_parts(spark):
+    """Two large groups of near copies that share their bands, and one text between them."""
+    words = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join(words[:k] + ["other"] + words[k + 1 :])) for k in range(5, 150)]
+    docs += [(900, " ".join(f"v{k}" for k in range(200)))]
+    table = odd_table(spark, docs)
+    assert sorted(r["doc_id"] for r in op4_simhash.one_of_similar(table, limit=20).collect()) == [5, 900]

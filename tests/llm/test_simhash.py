@@ -105,10 +105,27 @@ def test_components_of_a_chain(spark):
     assert {r[0]: r[1] for r in op.components(chain).collect()} == {k: 0 for k in range(1, 61)} | {100: 99}
 
 
-def test_one_of_each(make):
-    docs = [(5, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (9, "quite another text is here"), (None, "odd words alone stand now")]
-    kept = op.one_of_each(make(docs)).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["2", "9", "None"] and kept[0].__fields__ == make(docs).columns
+def test_a_large_group_is_dealt_again(spark):
+    """50,000 codes that agree on their upper 13 bits, with links planted among them."""
+    rng = np.random.default_rng(7)
+    codes = np.unique(rng.integers(0, 2**51, 45_000, dtype=np.uint64))
+    links = [(c, c ^ np.uint64(1 << k) ^ np.uint64(1 << (k + 9))) for k, c in enumerate(codes[:40])]
+    every = np.unique(np.concatenate([codes, [b for _, b in links], np.arange(5000, dtype=np.uint64) << np.uint64(30)])).view(np.int64)
+    table = spark.createDataFrame([(c,) for c in every.tolist()], "fp bigint")
+    largest = op.dealt_by(table, op.choices(5, 1), 4, 4096).groupBy("choice", "bits", "part", "other").count().agg({"count": "max"}).first()[0]
+    assert len(every) > 49_000 and largest <= 4096
+    roots = dict(op.classes(table).collect())
+    assert all(roots[int(a)] == roots[int(b)] for a, b in links)
+
+
+def test_blocks_of_further_bits_cover_every_small_difference():
+    rng = np.random.default_rng(1)
+    for mask in op.choices(5, 1) + op.choices(6, 2):
+        finer = op.further(mask, 4)
+        for _ in range(50):
+            rest = [k for k in range(64) if not mask >> k & 1]
+            apart = sum(1 << int(k) for k in rng.choice(rest, 4, replace=False))
+            assert any(not apart & m for m in finer) and all(m & mask == mask for m in finer)
 
 
 def jaccard(a, b, size=5):
