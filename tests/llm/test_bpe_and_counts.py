@@ -44,6 +44,25 @@ def test_an_earlier_rank_can_appear_later():
     assert [op1_bpe.unpack(x) for x in ours.replay([w.encode() for w in whole])] == [known.encode_ordinary(w) for w in whole]
 
 
+def test_replay_equals_library_for_any_ranks():
+    """Ranks in any order, with tokens that can be cut in several ways and overlap themselves."""
+    for seed in range(25):
+        rnd = random.Random(seed)
+        tokens = [b"a", b"b", b"c"]
+        while len(tokens) < 25:
+            new = rnd.choice(tokens) + rnd.choice(tokens)
+            if new not in tokens and len(new) < 9:
+                tokens.append(new)
+        order = list(range(300, 300 + len(tokens)))
+        if seed % 2:
+            rnd.shuffle(order)
+        ranks = {bytes([b]): b for b in range(256)} | {t: r for t, r in zip(tokens, order) if len(t) > 1}
+        known = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+        words = [w for w in {"".join(rnd.choice("aabc") for _ in range(rnd.randint(1, 30))) for _ in range(300)} if w.encode() not in ranks]
+        assert [op1_bpe.unpack(x) for x in op1_bpe.MergeReplay(ranks).replay([w.encode() for w in words])] == [known.encode_ordinary(w) for w in words]
+    assert op1_bpe.MergeReplay(ranks).replay([b"", b"zz", b""]) == [b"", b"z\0\0\0z\0\0\0", b""] and op1_bpe.MergeReplay(ranks).replay([]) == []
+
+
 def test_long_text_in_runs(library, monkeypatch):
     monkeypatch.setattr(op1_bpe, "RUN", 50)
     text = " ".join(noise(40, 2))
