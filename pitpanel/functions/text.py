@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,13 +88,54 @@ def scrub_text(text: str) -> str:
     return text
 
 
+class TextOfHtml(HTMLParser):
+    """The stripped text between the tags, references resolved, scripts and styles left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+        self.open: list[str] = []
+        self.silent: str | None = None
+
+    def end_of_text(self, *_: object) -> None:
+        if text := "".join(self.open).strip():
+            self.found.append(text)
+        self.open.clear()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_of_text()
+        if tag in ("script", "style"):
+            self.silent = tag
+
+    def handle_endtag(self, tag: str) -> None:
+        self.end_of_text()
+        if tag == self.silent:
+            self.silent = None
+
+    def handle_data(self, data: str) -> None:
+        if self.silent is None:
+            self.open.append(data)
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = end_of_text
+
+
+def plain(html: str | None) -> str:
+    parser = TextOfHtml()
+    parser.feed(html or "")
+    parser.close()
+    parser.end_of_text()
+    return " ".join(parser.found)
+
+
 def html_text(html: Column) -> Column:
-    """Plain text of HTML: without scripts, styles, comments and tags, with basic entities."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Plain text of HTML, a null being empty. A parser over Arrow batches: no function of the
+    JVM resolves character references."""
+
+    @F.pandas_udf("string")
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(plain)
+
+    return texts(F.coalesce(html, F.lit("")))
 
 
 def article_text(body: Column, trail: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.operators.ranges import running
+
 
 def asof(probes: DataFrame, facts: DataFrame, key: str, at: str, ts: str, payload: list[str], bucket: int | None = None) -> DataFrame:
     """Each probe with ``fact``: a struct of the latest fact's ``ts`` and payload, or null.
@@ -84,8 +86,15 @@ def resolved(rows: DataFrame, labels: DataFrame, keys: list[str], at: str, sums:
     """``rows`` with running sums over the labels of their group that ended by ``at``.
 
     Labels are summed by end time first, so a group's history is one row a time. ``asks``
-    can name the keys and times of the rows, where they are known apart from these.
+    can name the keys and times of the rows, where they are known apart from these. Without
+    keys all rows are one group, whose times are summed in ranges.
     """
+    if not keys:
+        times = labels.select(F.col("t_end").alias(at), *(c.alias(name) for name, c in sums.items()))
+        times = times.unionByName((rows if asks is None else asks).select(at).distinct(), allowMissingColumns=True)
+        times = times.groupBy(at).agg(*(F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in sums))
+        totals = running(times, at, list(sums)).select(at, *((F.col(name) + F.col(f"{name}_before")).alias(name) for name in sums))
+        return rows.join(totals, at, "left")
     ends = labels.groupBy(*keys, F.col("t_end").alias("_at")).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
     asks = (rows if asks is None else asks).select(*keys, F.col(at).alias("_at")).distinct().withColumn("_ask", F.lit(1))
     both = ends.withColumn("_ask", F.lit(0)).unionByName(asks, allowMissingColumns=True)

@@ -1,18 +1,19 @@
-"""Cluster-robust inference on loss differences: sums in Spark, tails and draws on the driver."""
+"""Cluster-robust inference on loss differences: sums and draws in Spark, tails on the driver."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.numeric import HOUR
 from pitpanel.operators.labels import LABELS
-from pitpanel.operators.metrics import argmax_label, confusion, loss_differences
+from pitpanel.operators.metrics import argmax_label, loss_differences
+from pitpanel.operators.ranges import least_later, numbered, running
 from pitpanel.sources.storage import materialised
 
 PERSISTENCE_DAYS = 14
@@ -131,55 +132,97 @@ def dm_test(rows: DataFrame, block_hours: int = 24, lag: int | None = None, clus
     return out | {"dm_stat": stat, "dm_p": student_tail(stat, out["df"])}
 
 
-def flip_p(sums: np.ndarray, draws: int, rng: np.random.Generator) -> float:
-    if not sums.any():
+# -- draws --
+#
+# What a draw gives to a group is read off a hash of the seed, the group and the draw, so any
+# executor tells it by itself, again after a loss, and the rows of no table reach the driver.
+
+HEX = "0123456789abcdef"
+
+
+def hashed(names: DataFrame, seed: int, what: str, draws: int, each: int) -> DataFrame:
+    """``names`` (``name`` and others) with ``draw`` and ``digits``: a row a draw, with its
+    32 / each hexadecimal digits of a hash of seed, what is drawn, name and draw / each."""
+    many = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // each)))
+    rows = names.withColumn("_many", many)
+    rows = rows.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), F.lit(what), F.coalesce(F.col("name").cast("string"), F.lit("")), "_many")))
+    rows = rows.withColumn("_one", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("draw", F.col("_many") * each + F.col("_one"))
+    return rows.filter(F.col("draw") < draws)
+
+
+def signs(names: DataFrame, seed: int, what: str, draws: int) -> DataFrame:
+    """A row a name and draw with ``sign``, 1 or -1: one bit of the hash."""
+    rows = hashed(names, seed, what, draws, 128)
+    digit = F.instr(F.lit(HEX), F.col("_hash").substr(F.floor(F.col("_one") / 4).cast("int") + 1, F.lit(1))) - 1
+    bit = F.expr("mod(_one, 4)")
+    return rows.withColumn("sign", F.when(F.floor(digit / F.pow(F.lit(2), bit)) % 2 == 1, 1).otherwise(-1)).drop("_many", "_one", "_hash")
+
+
+def poisson_steps() -> list[int]:
+    """The numbers of 2 ** 32 from which a Poisson variable of mean 1 is 1, 2 and so on."""
+    total, out = 0.0, []
+    for k in range(13):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(math.ceil(total * 2**32))
+    return out
+
+
+def poisson(names: DataFrame, seed: int, what: str, draws: int) -> DataFrame:
+    """A row a name and draw with ``weight``, Poisson with mean 1: eight digits of the hash."""
+    rows = hashed(names, seed, what, draws, 4)
+    value = F.conv(F.col("_hash").substr(F.col("_one") * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+    rows = rows.withColumn("_value", value)
+    weight = sum((F.when(F.col("_value") >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
+    return rows.withColumn("weight", weight).drop("_many", "_one", "_hash", "_value")
+
+
+def flip_p(sums: DataFrame, draws: int, seed: int, what: str) -> float:
+    """Share of draws of signs under which the sum of ``s`` over ``name`` is as large as it is."""
+    total, size = sums.agg(F.sum("s"), F.sum(F.abs("s"))).first()
+    if not size:
         return 1.0
-    seen = sums.sum()
-    flipped = (rng.integers(0, 2, size=(draws, len(sums)), dtype=np.int8) * 2 - 1) @ sums
-    return float((1 + (flipped >= seen - 1e-12 * abs(seen)).sum()) / (draws + 1))
+    flipped = signs(sums, seed, what, draws).groupBy("draw").agg(F.sum(F.col("sign") * F.col("s")).alias("t"))
+    return (1 + flipped.filter(F.col("t") >= total - 1e-12 * abs(total)).count()) / (draws + 1)
 
 
 def sign_flip(rows: DataFrame, block_hours: int = 24, lag: int | None = None, draws: int = 4999, seed: int = 0) -> dict:
     """Permutation tests that flip whole groups, or runs of lag + 1 blocks; the larger p counts."""
-    found = cells(rows, block_hours).select("event_group", "block", "s").toPandas()
-    by_group = found.groupby("event_group")["s"].sum().sort_index().to_numpy()
-    by_block = found.groupby("block")["s"].sum().sort_index()
-    lag = hac_lag(len(by_block), block_hours) if lag is None else lag
-    runs = by_block.groupby((by_block.index - by_block.index.min()) // (lag + 1)).sum().to_numpy()
-    rng = np.random.default_rng(seed)
-    p_group = flip_p(by_group, draws, rng)
-    p_time = flip_p(runs, draws, rng)
+    found = materialised(cells(rows, block_hours))
+    first, blocks = found.agg(F.min("block"), F.count_distinct("block")).first()
+    lag = hac_lag(blocks, block_hours) if lag is None else lag
+    by_group = found.groupBy(F.col("event_group").alias("name")).agg(F.sum("s").alias("s"))
+    by_run = found.groupBy(F.floor((F.col("block") - F.lit(first)) / (lag + 1)).alias("name")).agg(F.sum("s").alias("s"))
+    p_group, p_time = flip_p(by_group, draws, seed, "group"), flip_p(by_run, draws, seed, "time")
     return {"signflip_p": max(p_group, p_time), "signflip_p_group": p_group, "signflip_p_time": p_time}
 
 
-def group_matrix(scored: DataFrame, pred: str) -> tuple[list[str], np.ndarray]:
-    """Groups in order and their 3 x 3 confusion counts; one row a group reaches the driver."""
-    counts = confusion(scored.withColumn("pred", F.col(pred)), ["event_group"]).collect()
-    groups = sorted({r["event_group"] for r in counts})
-    place, number = {g: k for k, g in enumerate(groups)}, {x: k for k, x in enumerate(LABELS)}
-    out = np.zeros((len(groups), 3, 3))
-    for r in counts:
-        out[place[r["event_group"]], number[r["label"]], number[r["pred"]]] = r["n"]
-    return groups, out
+def mean_f1(hits: list[Column], both: list[Column]) -> Column:
+    """Macro F1 of hits, and of true and predicted rows together, by label."""
+    return sum(F.when(b > 0, 2 * h / b).otherwise(0.0) for h, b in zip(hits, both)) / len(hits)
 
 
-def f1_of(matrix: np.ndarray) -> np.ndarray:
-    """Macro F1 of confusion counts in the last two axes."""
-    hit = np.einsum("...ii->...i", matrix)
-    both = matrix.sum(-1) + matrix.sum(-2)
-    return np.divide(2 * hit, both, out=np.zeros_like(hit), where=both > 0).mean(-1)
+def paired_bootstrap(scored: DataFrame, pred_a: str, pred_b: str, draws: int = 2000, seed: int = 0) -> dict:
+    """Macro F1 of a less that of b, with an interval from drawing groups anew.
 
+    A draw gives each group a Poisson weight of mean 1, which is what drawing with replacement
+    gives it among many groups; F1 doesn't depend on the sum of the weights.
+    """
+    parts = {}
+    for side, pred in (("a", pred_a), ("b", pred_b)):
+        for k, label in enumerate(LABELS):
+            is_label, is_pred = (F.coalesce((F.col(c) == label).cast("int"), F.lit(0)) for c in ("label", pred))
+            parts[f"{side}hit{k}"] = is_label * is_pred
+            parts[f"{side}both{k}"] = is_label + is_pred
+    groups = materialised(scored.groupBy(F.col("event_group").alias("name")).agg(*(F.sum(c).alias(name) for name, c in parts.items())))
 
-def paired_bootstrap(scored: DataFrame, pred_a: str, pred_b: str, draws: int = 2000, seed: int = 0) -> dict:
-    """Macro F1 of a less that of b, with an interval from drawing groups with replacement."""
-    _, a = group_matrix(scored, pred_a)
-    _, b = group_matrix(scored, pred_b)
-    k, rng = len(a), np.random.default_rng(seed)
-    weights = np.stack([np.bincount(rng.integers(0, k, k), minlength=k) for _ in range(draws)]).astype(float)
-    drawn = f1_of(np.tensordot(weights, a, 1)) - f1_of(np.tensordot(weights, b, 1))
-    low, high = map(float, np.percentile(drawn, [2.5, 97.5]))
-    return {"delta": float(f1_of(a.sum(0)) - f1_of(b.sum(0))), "ci95": [low, high], "excludes_zero": low > 0 or high < 0,
-            "n_groups": k, "n_boot": draws, "p": float((1 + (drawn <= 0).sum()) / (draws + 1))}
+    def delta() -> Column:
+        a, b = (mean_f1([F.col(f"{side}hit{k}") for k in range(len(LABELS))], [F.col(f"{side}both{k}") for k in range(len(LABELS))]) for side in "ab")
+        return a - b
+
+    all_ = groups.agg(F.count("*").alias("n"), *(F.sum(name).alias(name) for name in parts)).select("n", delta().alias("delta")).first()
+    drawn = poisson(groups, seed, "boot", draws).groupBy("draw").agg(*(F.sum(F.col("weight") * F.col(name)).alias(name) for name in parts)).select(delta().alias("x"))
+    low, high, below = drawn.agg(F.percentile("x", F.lit(0.025)), F.percentile("x", F.lit(0.975)), F.count_if(F.col("x") <= 0)).first()  # of ``draws`` rows
+    return {"delta": all_["delta"], "ci95": [low, high], "excludes_zero": low > 0 or high < 0, "n_groups": all_["n"], "n_boot": draws, "p": (1 + below) / (draws + 1)}
 
 
 # -- placebos --
@@ -191,24 +234,22 @@ def positions(rows: DataFrame) -> DataFrame:
     market = Window.partitionBy("market_ticker")
     out = rows.withColumns({"n": F.count("*").over(market), "pos": F.row_number().over(market.orderBy("t0")) - 1})
     out = out.withColumn("ring", F.when(F.col("n") > 1, F.concat(F.lit("m:"), "market_ticker")).otherwise("singles"))
-    ones = out.filter("n = 1")
-    order = Window.orderBy("t0", "market_ticker")
-    ones = ones.withColumns({"pos": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("ring"))})
-    return out.filter("n > 1").unionByName(ones)
+    ones = numbered(out.filter("n = 1").drop("pos", "n"), "t0", ["market_ticker"], "pos", "n")
+    return out.filter("n > 1").unionByName(ones, allowMissingColumns=True)
 
 
 def least_shift(n, min_shift: int):
     return F.greatest(F.lit(1), F.least(F.lit(min_shift), F.floor(n / 2)))
 
 
-def draw_offsets(placed: DataFrame, rng: np.random.Generator, min_shift: int = 6) -> DataFrame:
-    """``ring, k``: an offset for each ring, drawn in order of names, the singles last."""
-    sizes = sorted((r[0] == "singles", r[0], r[1]) for r in placed.select("ring", "n").distinct().collect() if r[1] > 1)
-    drawn = []
-    for _, ring, n in sizes:
-        s = max(1, min(min_shift, n // 2))
-        drawn.append((ring, int(rng.integers(s, max(s, n // 2) + 1))))
-    return placed.sparkSession.createDataFrame(drawn, "ring string, k bigint")
+def draw_offsets(placed: DataFrame, seed: str | int, min_shift: int = 6) -> DataFrame:
+    """``ring, k``: an offset for each ring from a hash of seed and ring, uniform between the
+    least shift and half the ring."""
+    least = least_shift(F.col("n"), min_shift)
+    choices = F.greatest(least, F.floor(F.col("n") / 2)) - least + 1
+    value = F.conv(F.md5(F.concat_ws("|", F.lit(seed), "ring")).substr(1, 8), 16, 10).cast("bigint")
+    rings = placed.groupBy("ring").agg(F.max("n").alias("n")).filter("n > 1")
+    return rings.select("ring", (least + value % choices).cast("bigint").alias("k"))
 
 
 def placebo_shift(placed: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -220,7 +261,11 @@ def placebo_shift(placed: DataFrame, offsets: DataFrame) -> DataFrame:
     return met.select("market_ticker", "t0", F.when(F.col("_t0") <= F.col("t0"), F.col("_value")).alias("value"))
 
 
-def placebo_threshold(gains: Sequence[float], q: float = 0.95) -> float:
+#: What a gain has to be above of, as a share of the placebo gains.
+PLACEBO_SHARE = 0.95
+
+
+def placebo_threshold(gains: Sequence[float], q: float = PLACEBO_SHARE) -> float:
     """The order statistic that certifies q, or infinity if there are too few placebos."""
     rank = math.ceil(q * (len(gains) + 1) - 1e-9)
     return sorted(gains)[rank - 1] if 1 <= rank <= len(gains) else math.inf
@@ -232,11 +277,10 @@ def placebo_p(gain: float, gains: Sequence[float]) -> float:
 
 def benjamini_hochberg(tests: DataFrame) -> DataFrame:
     """``tests`` (``id, p``) with ``q``, its false discovery rate."""
-    order = Window.orderBy("p", "id")
-    m = F.count("*").over(Window.partitionBy())
-    ranked = tests.withColumns({"_r": F.row_number().over(order), "_m": m})
-    back = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col("p") * F.col("_m") / F.col("_r")).over(back))).drop("_r", "_m")
+    counts = running(tests.groupBy("p").agg(F.count("*").alias("_n")), "p", ["_n"])
+    ranked = counts.select("p", "_n_all", (F.col("_n_before") + F.col("_n")).alias("_rank"))  # of the last of equals
+    least = least_later(ranked, "p", F.col("p") * F.col("_n_all") / F.col("_rank")).select("p", F.least(F.lit(1.0), "least").alias("q"))
+    return tests.join(least, "p").select(*tests.columns, "q")
 
 
 def q_values(p: Sequence[float]) -> list[float]:
@@ -250,10 +294,28 @@ def q_values(p: Sequence[float]) -> list[float]:
     return out
 
 
-def cutoff_split(scored: DataFrame, cutoff: int) -> DataFrame:
+def epoch(at: int | str | datetime) -> int:
+    """Epoch seconds of a time that is given as such, in ISO form or as a datetime; UTC if it names no zone."""
+    if isinstance(at, str):
+        at = datetime.fromisoformat(at)
+    if isinstance(at, datetime):
+        at = (at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp()
+    return int(at)
+
+
+def sides(scored: DataFrame, cutoff: int | str | datetime) -> DataFrame:
+    return scored.withColumn("side", F.when(F.col("t0") < epoch(cutoff), "before").otherwise("after"))
+
+
+def cutoff_split(scored: DataFrame, cutoff: int | str | datetime) -> DataFrame:
     """``side, n, gain`` before and from a time on, weights balanced within each side."""
-    rows = scored.withColumn("side", F.when(F.col("t0") < cutoff, "before").otherwise("after"))
-    return loss_differences(rows, by=["side"]).groupBy("side").agg(F.count("*").alias("n"), F.avg("d").alias("gain"))
+    return loss_differences(sides(scored, cutoff), by=["side"]).groupBy("side").agg(F.count("*").alias("n"), F.avg("d").alias("gain"))
+
+
+def cutoff_tests(scored: DataFrame, cutoff: int | str | datetime, block_hours: int = 24) -> dict[str, dict]:
+    """The test of ``dm_test`` before and from a time on, each over its own rows."""
+    rows = materialised(loss_differences(sides(scored, cutoff), by=["side"]))
+    return {side: dm_test(rows.filter(F.col("side") == side), block_hours) for side in ("before", "after")}
 
 
 # -- decision --

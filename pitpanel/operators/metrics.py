@@ -120,7 +120,8 @@ def random_baseline(events: DataFrame, folds: DataFrame, seed: int = 42) -> Data
     being a hash of the row and the seed, so that it doesn't depend on partitions."""
     rows = events.join(folds, ["market_ticker", "t0"])
     shares = rows.filter("role = 'train'").groupBy("fold").agg(*(F.avg((F.col("label") == x).cast("double")).alias(f"s_{x}") for x in LABELS))
-    u = F.pmod(F.xxhash64("market_ticker", "t0", "fold", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
+    digits = F.md5(F.concat_ws("|", F.lit(seed), "market_ticker", "t0", "fold")).substr(1, 8)
+    u = F.conv(digits, 16, 10).cast("bigint") / F.lit(2.0**32)
     pick = F.when(u < F.col("s_DOWN"), "DOWN").when(u < F.col("s_DOWN") + F.col("s_FLAT"), "FLAT").otherwise("UP")
     return rows.filter("role = 'val'").join(F.broadcast(shares), "fold").select("market_ticker", "t0", "fold", "label", pick.alias("random"))
 

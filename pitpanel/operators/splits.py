@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions.numeric import HOUR
+from pitpanel.operators.ranges import numbered, quantiles
 
 
 def first_t0(events: DataFrame) -> DataFrame:
@@ -13,12 +14,8 @@ def first_t0(events: DataFrame) -> DataFrame:
 
 
 def group_blocks(events: DataFrame, blocks: int) -> DataFrame:
-    """``event_group, block``: groups ranked by first t0 (then name) in equal parts.
-
-    Only the table of groups is ranked as a whole, not the events.
-    """
-    order = Window.orderBy("first_t0", "event_group")
-    ranked = first_t0(events).withColumns({"rank": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy())})
+    """``event_group, block``: groups ranked by first t0 (then name) in equal parts."""
+    ranked = numbered(first_t0(events), "first_t0", ["event_group"], "rank", "n")
     return ranked.select("event_group", F.floor(F.col("rank") * blocks / F.col("n")).cast("bigint").alias("block"))
 
 
@@ -40,7 +37,7 @@ def walk_forward(events: DataFrame, splits: int = 5, embargo_h: int = 4) -> Data
 
 def seal_time(events: DataFrame, fraction: float = 0.15) -> DataFrame:
     """One row: the t0 quantile at 1 - fraction, truncated."""
-    return events.agg(F.percentile("t0", F.lit(1 - fraction)).cast("bigint").alias("seal"))
+    return quantiles(events, F.col("t0"), {"seal": 1 - fraction}).select(F.col("seal").cast("bigint").alias("seal"))
 
 
 def seal_split(events: DataFrame, fraction: float = 0.15, embargo_h: int = 4) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import inference as I
 from pitpanel.operators import splits
-from pitpanel.plans import model, search
+from pitpanel.plans import model, proposers, search
 from pitpanel.plans.catalog import featured, query, rounded
 from pitpanel.plans.queries_scores import FEATURES, scored
 from pitpanel.sources import files
@@ -96,10 +96,10 @@ def se1(spark: Spark, d: str) -> Frame:
     import tempfile
 
     rows = materialised(featured(spark, d, True))
-    cfg = search.SearchConfig(budget=2, seeds=(0,), placebos=0, columns=tuple(FEATURES), max_depth=2, min_valid=20, draws=100, classifier={"n_estimators": 5})
+    cfg = proposers.SearchConfig(budget=2, seeds=(0,), placebos=0, columns=tuple(FEATURES), max_depth=2, min_valid=20, draws=100, classifier={"n_estimators": 5})
     with tempfile.TemporaryDirectory() as folder:  # the log of a driver's run
-        arm = search.RandomArm(5, cfg)
-        seen: list[search.Outcome] = []
+        arm = proposers.RandomArm(5, cfg)
+        seen: list[proposers.Outcome] = []
         arm.observe = seen.append
         search.run_search(arm, rows, splits.walk_forward(rows), cfg, f"{folder}/run", oof=False)
     return spark.createDataFrame([(o.trial, o.formula, o.status, o.reason) for o in seen], "trial int, formula string, status string, reason string")

@@ -10,6 +10,7 @@ from pitpanel.functions.numeric import iso_epoch, number
 from pitpanel.operators import asof as A
 from pitpanel.operators import labels as L
 from pitpanel.operators import price, sentiment, splits
+from pitpanel.operators.ranges import numbered
 from pitpanel.plans.catalog import events_sql, featured, featured_sql, panel, panel_events, panel_sql, query, r, rounded, sql_round
 from pitpanel.sources import candles as C
 from pitpanel.sources import files, manifest
@@ -393,16 +394,11 @@ def so4(spark: Spark, d: str) -> Frame:
 def systematic_sample(rows: Frame, order: list[str], n: int) -> Frame:
     """Rows number int(i * total / n), i < n, in an order; all of them if they are no more.
 
-    Rows are numbered by ranges of the first order column, which are numbered side by side.
+    Rows are numbered by ranges of the first order column, side by side.
     """
-    first = order[0]
-    counts = rows.groupBy(first).agg(F.count("*").alias("_in"))
-    over = Window.orderBy(first)
-    base = counts.select(first, (F.sum("_in").over(over) - F.col("_in")).alias("_base"), F.sum("_in").over(Window.partitionBy()).alias("_n"))
-    k = F.col("_base") + F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) - 1
-    ranked = rows.join(base, first).withColumn("_k", k)
+    ranked = numbered(rows, order[0], order[1:], "_k", "_n")
     pick = F.floor(F.ceil(F.col("_k") * n / F.col("_n")) * (F.col("_n") / F.lit(float(n)))).cast("bigint") == F.col("_k")
-    return ranked.filter((F.col("_n") <= n) | pick).drop("_base", "_n", "_k")
+    return ranked.filter((F.col("_n") <= n) | pick).drop("_n", "_k")
 
 
 @query("so1_sorted_ranks", f"WITH {events_sql(True)} SELECT market_ticker, t0, row_number() OVER (PARTITION BY event_group ORDER BY t0, market_ticker) AS place FROM ev")
@@ -505,6 +501,15 @@ def tx_clip(spark: Spark, d: str) -> Frame:
     return T.table(spark, d, "conversations").select("conv_id", "turn", X.clipped(F.col("text"), 80).alias("text"))
 
 
-@query("tx_html_text")
+_TAGS = r"(?s)<!--.*?-->|<[^>]*>"
+_ENTITIES = [("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+_RESOLVED = "x"
+for _entity, _char in _ENTITIES:
+    _RESOLVED = f"replace({_RESOLVED}, '{_entity}', '{_char}')"
+_SILENT = "regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '<>', 'g')"
+_NODES = f"list_transform(string_split_regex({_SILENT}, '{_TAGS}'), lambda x: regexp_replace({_RESOLVED}, '^\\s+|\\s+$', '', 'g'))"
+
+
+@query("tx_html_text", f"SELECT page_id, array_to_string(list_filter({_NODES}, lambda x: x <> ''), ' ') AS text FROM pages")
 def tx_html(spark: Spark, d: str) -> Frame:
     return T.table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))

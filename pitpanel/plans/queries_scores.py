@@ -10,7 +10,7 @@ from pitpanel.operators import metrics as M
 from pitpanel.operators import splits
 from pitpanel.operators.labels import LABELS
 from pitpanel.plans import compile as language
-from pitpanel.plans import model, search
+from pitpanel.plans import model, proposers, search
 from pitpanel.plans.catalog import events_sql, featured, featured_sql, panel_events, query, r, rounded, sql_round
 from pitpanel.plans.queries_panel import _FOLDS
 from pitpanel.plans.spec import col, node
@@ -169,16 +169,43 @@ def st7(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame([row], "n_events bigint, n_blocks bigint, n_groups bigint, mean_gain double, df double, dm_stat double, status string"))
 
 
-@query("st9_f1_bootstrap")
+_LAG_RULE = "greatest(0, least(greatest(CAST(floor(4 * pow(t / 100e0, 2 / 9e0)) AS BIGINT), 14), (t - 1) // 4))"
+_BIT = f"(((instr('{I.HEX}', substr(m, CAST(j // 4 AS INT) + 1, 1)) - 1) >> CAST(j % 4 AS INT)) & 1) = 1"
+
+
+def _flips(what: str, draws: int = 4999) -> str:
+    """Common table expressions after ``{what}_s`` (name, s): the share of draws, ``{what}_p``."""
+    return f"""{what}_m AS (SELECT s, many, md5('0|{what}|' || name || '|' || many) AS m FROM {what}_s, range({(draws - 1) // 128 + 1}) AS r(many)),
+{what}_t AS (SELECT many * 128 + j AS draw, sum(CASE WHEN {_BIT} THEN s ELSE -s END) AS t FROM {what}_m, range(128) AS r(j) GROUP BY 1),
+{what}_p AS (SELECT (1 + (SELECT count(*) FROM {what}_t WHERE draw < {draws} AND t >= (SELECT sum(s) - 1e-12 * abs(sum(s)) FROM {what}_s))) / {draws + 1}e0 AS p)"""
+
+
+_BOOT_DRAWS = 500
+_WEIGHT = " + ".join(f"(v >= {step})::INT" for step in I.poisson_steps())
+_SIDES = [(side, pred, k, label) for side, pred in (("a", "pred"), ("b", "pred_ref")) for k, label in enumerate(LABELS)]
+_COUNTS = ", ".join(f"count(*) FILTER (label = '{x}' AND {pred} = '{x}') AS {side}hit{k}, count(*) FILTER (label = '{x}') + count(*) FILTER ({pred} = '{x}') AS {side}both{k}" for side, pred, k, x in _SIDES)
+_DRAWN = ", ".join(f"sum(w * {side}{what}{k}) AS {side}{what}{k}" for side, _, k, _ in _SIDES for what in ("hit", "both"))
+_SUMMED = _DRAWN.replace("w * ", "")
+_DELTA = " - ".join(f"({' + '.join(f'coalesce(2e0 * {side}hit{k} / nullif({side}both{k}, 0), 0e0)' for k in range(len(LABELS)))}) / {len(LABELS)}" for side in "ab")
+#: The reference's label, but flat at each third time.
+_OTHER = "CASE WHEN t0 // 14400 % 3 = 0 THEN 'FLAT' ELSE pred_ref END"
+_BOOT = f"""so AS (SELECT event_group, label, pred, {_OTHER} AS pred_ref FROM sc), bg AS (SELECT event_group AS name, {_COUNTS} FROM so GROUP BY 1),
+bm AS (SELECT *, md5('0|boot|' || name || '|' || many) AS m FROM bg, range({(_BOOT_DRAWS - 1) // 4 + 1}) AS r(many)),
+bv AS (SELECT *, many * 4 + j AS draw, CAST('0x' || substr(m, CAST(j * 8 AS INT) + 1, 8) AS BIGINT) AS v FROM bm, range(4) AS r(j)),
+bd AS (SELECT draw, {_DRAWN} FROM (SELECT *, {_WEIGHT} AS w FROM bv WHERE draw < {_BOOT_DRAWS}) GROUP BY 1), bx AS (SELECT {_DELTA} AS x FROM bd), ba AS (SELECT {_SUMMED} FROM bg)"""
+
+
+@query("st9_f1_bootstrap", f"WITH {SCORED}, {_BOOT} SELECT {R(f'(SELECT {_DELTA} FROM ba)')} AS delta, {R('quantile_cont(x, 0.025)')} AS low, {R('quantile_cont(x, 0.975)')} AS high, {R(f'(1 + count(*) FILTER (x <= 0)) / {_BOOT_DRAWS + 1}e0')} AS p FROM bx")
 def st9(spark: SparkSession, d: str) -> DataFrame:
-    found = I.paired_bootstrap(scored(spark, d), "pred", "pred_ref", 500)
-    return spark.createDataFrame([(found["delta"], *found["ci95"], found["p"])], "delta double, low double, high double, p double")
+    other = F.when(F.floor(F.col("t0") / 14400) % 3 == 0, "FLAT").otherwise(F.col("pred_ref"))
+    found = I.paired_bootstrap(scored(spark, d).withColumn("other", other), "pred", "other", _BOOT_DRAWS)
+    return rounded(spark.createDataFrame([(found["delta"], *found["ci95"], found["p"])], "delta double, low double, high double, p double"))
 
 
-@query("st8_sign_flip")
+@query("st8_sign_flip", f"WITH {SCORED}{_WEIGHTED}, group_s AS (SELECT event_group AS name, sum(d) AS s FROM dd GROUP BY 1), bl AS (SELECT t0 // 86400 AS block, sum(d) AS s FROM dd GROUP BY 1), la AS (SELECT {_LAG_RULE} AS lag FROM (SELECT count(*) AS t FROM bl)), time_s AS (SELECT (block - (SELECT min(block) FROM bl)) // (lag + 1) AS name, sum(s) AS s FROM bl, la GROUP BY 1), {_flips('group')}, {_flips('time')} SELECT {R('greatest(g.p, t.p)')} AS signflip_p, {R('g.p')} AS signflip_p_group, {R('t.p')} AS signflip_p_time FROM group_p g, time_p t")
 def st8(spark: SparkSession, d: str) -> DataFrame:
     found = I.sign_flip(M.loss_differences(scored(spark, d)))
-    return spark.createDataFrame([tuple(map(float, found.values()))], ", ".join(f"{k} double" for k in found))
+    return rounded(spark.createDataFrame([tuple(map(float, found.values()))], ", ".join(f"{k} double" for k in found)))
 
 
 _RING = """n0 AS (SELECT market_ticker, t0, mid_t0 AS value, count(*) OVER (PARTITION BY market_ticker) AS c FROM ev),
@@ -224,7 +251,11 @@ def ml5(spark: SparkSession, d: str) -> DataFrame:
     return M.baselines(rows, splits.walk_forward(rows))
 
 
-@query("ml5_random_baseline")
+_SHARES = ", sh AS (SELECT fold, " + ", ".join(f"avg((label = '{x}')::INT) AS s_{x}" for x in LABELS) + " FROM rows WHERE role = 'train' GROUP BY 1)"
+_DRAW = "CAST('0x' || substr(md5('42|' || market_ticker || '|' || t0 || '|' || rows.fold), 1, 8) AS BIGINT) / 4294967296e0"
+
+
+@query("ml5_random_baseline", _BASE + _SHARES + f" SELECT market_ticker, t0, CAST(rows.fold AS BIGINT) AS fold, label, CASE WHEN {_DRAW} < s_DOWN THEN 'DOWN' WHEN {_DRAW} < s_DOWN + s_FLAT THEN 'FLAT' ELSE 'UP' END AS random FROM rows JOIN sh USING (fold) WHERE role = 'val'")
 def ml5_random(spark: SparkSession, d: str) -> DataFrame:
     rows = materialised(featured(spark, d, True))
     return M.random_baseline(rows, splits.walk_forward(rows))
@@ -247,15 +278,20 @@ def ml3(spark: SparkSession, d: str) -> DataFrame:
     return model.cross_validate(rows, splits.walk_forward(rows), FEATURES, [0], model.forest, trees=10, depth=5)
 
 
-@query("ml2_text_scores")
+def _words(words: list[str]) -> str:
+    return f"len(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w IN ({', '.join(map(repr, words))})))"
+
+
+@query("ml2_text_scores", f"""WITH n AS (SELECT doc_id, {_words(model.GOOD)} AS up, {_words(model.BAD)} AS down FROM documents), s AS (SELECT doc_id, up / (up + down + 1e0) AS positive, down / (up + down + 1e0) AS negative, 1 / (up + down + 1e0) AS neutral FROM n)
+SELECT doc_id, CASE WHEN positive >= negative AND positive >= neutral THEN 'positive' WHEN negative >= neutral THEN 'negative' ELSE 'neutral' END AS label, {R('positive')} AS positive, {R('negative')} AS negative, {R('neutral')} AS neutral, {R('greatest(positive, negative, neutral)')} AS confidence FROM s""")
 def ml2(spark: SparkSession, d: str) -> DataFrame:
-    return model.score_texts(T.table(spark, d, "documents"), key="doc_id")
+    return rounded(model.score_texts(T.table(spark, d, "documents"), key="doc_id"))
 
 
 @query("se3_random_proposals")
 def se3(spark: SparkSession, d: str) -> DataFrame:
     """What a random proposer draws: formula and key of 200 specs."""
-    arm = search.RandomArm(7, search.SearchConfig(budget=200))
+    arm = proposers.RandomArm(7, proposers.SearchConfig(budget=200))
     specs = [language.parse(arm.propose([], [])) for _ in range(200)]
     return spark.createDataFrame([(s.key, s.formula(), s.depth, s.size) for s in specs], "key string, formula string, depth int, size int")
 
@@ -264,7 +300,7 @@ def se3(spark: SparkSession, d: str) -> DataFrame:
 def se2(spark: SparkSession, d: str) -> DataFrame:
     """One trial of the evaluator: a candidate against the base columns."""
     rows = materialised(featured(spark, d, True))
-    cfg = search.SearchConfig(budget=1, seeds=(0,), placebos=0, columns=tuple(FEATURES), min_valid=20, draws=200, classifier={"n_estimators": 8})
+    cfg = proposers.SearchConfig(budget=1, seeds=(0,), placebos=0, columns=tuple(FEATURES), min_valid=20, draws=200, classifier={"n_estimators": 8})
     ev = search.Evaluator(rows, splits.walk_forward(rows), cfg)
     v = ev.trial([], node("roll", col("ret_4h"), stat="mean", w=3)).to_dict()
     return spark.createDataFrame([(v["reason"], v["mean_gain"], v["dm_p"], v["f1_delta"])], "reason string, mean_gain double, dm_p double, f1_delta double")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions import numeric as N
 from pitpanel.operators.asof import resolved
 from pitpanel.operators.labels import label_value
+from pitpanel.operators.ranges import quantiles, running
 
 
 @dataclass(frozen=True)
@@ -184,22 +184,36 @@ def roll_z(x: Column, w: int) -> Column:
     return F.when((F.count(x).over(over) >= 3) & (std > N.EPS), (x - F.avg(x).over(over)) / std)
 
 
+#: Events of a market whose weights are told relative to one another; 2 ** 512 is a double.
+EWM_BLOCK = 512
+
+
 @register("market", halflife=HALVES, step=True)
 def ewm(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str | None, halflife: int) -> DataFrame:
     """Mean of all events before, the weight halving every halflife events.
 
-    A recursion over a market's history that no window frame expresses in linear time: one
-    pass in pandas for each market, over three columns.
+    Each block of a market's events is summed by itself and takes over what the blocks before
+    it left, in windows alone: no task holds a market in memory, and no weight overflows.
     """
-    (x,) = xs
-    narrow = source.select("market_ticker", "t0", x)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t0")
-        rows[out] = rows[x].shift(1).ewm(halflife=halflife).mean()
-        return rows[["market_ticker", "t0", out]]
-
-    made = narrow.groupBy("market_ticker").applyInPandas(one, f"market_ticker string, t0 bigint, `{out}` double")
+    decay, market = 0.5 ** (1 / halflife), Window.partitionBy("market_ticker")
+    at = F.row_number().over(market.orderBy("t0")) - 1
+    rows = source.select("market_ticker", "t0", F.col(xs[0]).cast("double").alias("_y"), at.alias("_at"))
+    rows = rows.withColumns({"_block": F.floor(F.col("_at") / EWM_BLOCK).cast("int"), "_in": F.col("_at") % EWM_BLOCK})
+    rise = F.pow(F.lit(1 / decay), "_in")  # weights grow with the place in the block
+    rows = rows.withColumns({"_sum": F.col("_y") * rise, "_w": F.when(F.col("_y").isNotNull(), rise)})
+    fall = F.lit(decay ** (EWM_BLOCK - 1))
+    blocks = rows.groupBy("market_ticker", "_block").agg(*((F.coalesce(F.sum(c), F.lit(0.0)) * fall).alias(f"{c}_left") for c in ("_sum", "_w")))
+    order = market.orderBy("_block")
+    # After so many blocks a weight is less than any double.
+    reach = 1 + int(1100 * halflife / EWM_BLOCK)
+    for c in ("_sum", "_w"):
+        kept = [F.coalesce(F.lag(f"{c}_left", k + 1).over(order), F.lit(0.0)) * F.lit(decay ** (EWM_BLOCK * k)) for k in range(reach)]
+        blocks = blocks.withColumn(f"{c}_kept", sum(kept[1:], kept[0]))
+    inside = Window.partitionBy("market_ticker", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = {c: F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(c) for c in ("_sum", "_w")}
+    rows = rows.select("market_ticker", "t0", "_block", "_in", *own.values()).join(blocks, ["market_ticker", "_block"])
+    total = {c: F.col(c) * F.pow(F.lit(decay), F.col("_in") - 1) + F.col(f"{c}_kept") * F.pow(F.lit(decay), "_in") for c in ("_sum", "_w")}
+    made = rows.select("market_ticker", "t0", F.when(total["_w"] > 0, total["_sum"] / total["_w"]).alias(out))
     return df.join(made, ["market_ticker", "t0"])
 
 
@@ -264,19 +278,11 @@ def zscore(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str)
 def qrank(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str) -> DataFrame:
     """Quantile of x among the training rows, ties at their middle.
 
-    Values are counted once each; ranges of them, cut at approximate quantiles, are
-    numbered side by side, so no task sorts all values.
+    Values are counted once each and summed in ranges, so no task sorts all values.
     """
-    (name,) = xs
-    x = F.col(name)
-    cuts = source.filter(F.col(fit)).approxQuantile(name, [k / 32 for k in range(1, 32)], 0.02)
+    x = F.col(xs[0])
     values = source.filter(x.isNotNull()).groupBy(x.alias("_x")).agg(F.sum(F.col(fit).cast("bigint")).alias("_eq"))
-    values = values.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col("_x"))))
-    totals = values.groupBy("_part").agg(F.sum("_eq").alias("_in"))
-    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", F.coalesce(F.sum("_in").over(order), F.lit(0)).alias("_base"), F.sum("_in").over(Window.partitionBy()).alias("_all"))
-    inside = Window.partitionBy("_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.join(F.broadcast(bases), "_part").select("_x", ((F.col("_base") + F.sum("_eq").over(inside) - F.col("_eq") / 2) / F.col("_all")).alias(out))
+    ranked = running(values, "_x", ["_eq"]).select("_x", ((F.col("_eq_before") + F.col("_eq") / 2) / F.col("_eq_all")).alias(out))
     return df.join(ranked, x == F.col("_x"), "left").select(*df.columns, N.finite(F.col(out)).alias(out))
 
 
@@ -284,7 +290,7 @@ def qrank(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str) -
 def winsor(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str, q: float) -> DataFrame:
     """x clipped to the q and 1 - q quantiles of the training rows."""
     x = F.col(xs[0])
-    rows = with_stats(df, source, fit, F.percentile(x, F.lit(q)).alias("_lo"), F.percentile(x, F.lit(1 - q)).alias("_hi"))
+    rows = df.crossJoin(F.broadcast(quantiles(source.filter(F.col(fit)), x, {"_lo": q, "_hi": 1 - q})))
     made = F.when(F.col("_lo").isNotNull(), N.clip(x, F.col("_lo"), F.col("_hi")))
     return rows.select(*df.columns, made.alias(out))
 
@@ -302,7 +308,7 @@ def group_dev(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: st
 def gate_q(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit: str, q: float, side: str) -> DataFrame:
     """a where b is on the side of its training quantile, else 0; null where b is."""
     a, b = map(F.col, xs)
-    rows = with_stats(df, source, fit, F.percentile(b, F.lit(q)).alias("_t"))
+    rows = df.crossJoin(F.broadcast(quantiles(source.filter(F.col(fit)), b, {"_t": q})))
     on = b > F.col("_t") if side == "above" else b <= F.col("_t")
     return rows.select(*df.columns, F.when(F.col("_t").isNotNull(), N.gate(a, b, on)).alias(out))
 
@@ -323,10 +329,12 @@ def series_target(df: DataFrame, source: DataFrame, xs: list[str], out: str, fit
     sound = F.when(F.col("t_end") <= F.col("t0"), F.raise_error(F.lit("series_target needs t_end > t0 on training rows")).cast("double"))
     sound = sound.when(value.isNull(), F.raise_error(F.lit("series_target needs a label on every training row")).cast("double")).otherwise(value)
     y = {"up": F.col("_v") > 0, "down": F.col("_v") < 0, "move": F.col("_v") != 0}.get(stat, F.col("_v"))
-    labels = source.filter(F.col(fit)).select("series", "t_end", sound.alias("_v")).select("series", "t_end", F.lit(0).alias("_one"), y.cast("double").alias("_y"))
+    labels = source.filter(F.col(fit)).select("series", "t_end", sound.alias("_v")).select("series", "t_end", y.cast("double").alias("_y"))
     sums = {"_own": F.col("_y"), "_own_n": F.lit(1.0)}
-    asks = source.select("series", "t0", F.lit(0).alias("_one"))
-    rows = resolved(df.withColumn("_one", F.lit(0)), labels, ["series"], "t0", sums, asks)
-    rows = resolved(rows, labels, ["_one"], "t0", {"_sum": F.col("_y"), "_n": F.lit(1.0)}, asks)
+    # A row a series and time, and not a row an event, until the end.
+    asks = source.select("series", "t0").distinct()
+    rows = resolved(asks, labels, ["series"], "t0", sums)
+    rows = resolved(rows, labels, [], "t0", {"_sum": F.col("_y"), "_n": F.lit(1.0)}, asks)
     overall = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))
-    return rows.select(*df.columns, ((F.col("_own") + m * overall) / (F.col("_own_n") + m)).alias(out))
+    rates = rows.select("series", "t0", ((F.col("_own") + m * overall) / (F.col("_own_n") + m)).alias(out))
+    return df.join(rates, ["series", "t0"], "left").select(*df.columns, out)

@@ -1,4 +1,4 @@
-"""Budgeted feature search: proposers, evaluator, greedy loop, logs.
+"""Budgeted feature search: evaluator, greedy loop, logs. What proposes is in ``proposers``.
 
 The loop runs on the driver; features, folds, losses and tests are Spark tables. A
 candidate's verdict depends on the accepted features and the candidate alone, not on the
@@ -7,54 +7,29 @@ proposer or its seed.
 
 from __future__ import annotations
 
-import json
 import math
 import os
 import shutil
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.functions.text import scrub_text
 from pitpanel.operators.inference import Verdict, decide, draw_offsets, placebo_shift, positions, q_values
 from pitpanel.operators.metrics import P, balanced_loss, balanced_weights, confusion, log_loss, loss_differences, macro_f1
 from pitpanel.plans import compile as language
 from pitpanel.plans.model import boosted, cross_validate
+from pitpanel.plans.proposers import ModelArm, Outcome, SearchConfig, write_transcript
 from pitpanel.plans.spec import Spec, SpecError
 from pitpanel.sources.files import append_lines, replace_json
 from pitpanel.sources.manifest import guard
 from pitpanel.sources.storage import materialised
 
 
-@dataclass(frozen=True)
-class SearchConfig:
-    budget: int = 100
-    seeds: tuple[int, ...] = (0, 1, 2, 3, 4)
-    alpha: float = 0.05
-    placebos: int = 19
-    placebo_min_shift: int = 6
-    placebo_seed: int = 0
-    max_depth: int = language.MAX_DEPTH
-    columns: tuple[str, ...] = tuple(language.DEFAULT_COLUMNS)
-    include_cross: bool = False
-    min_valid: int = 100
-    require_signflip: bool = False
-    require_f1: bool = False
-    draws: int = 2000
-    classifier: dict = field(default_factory=dict)
-
-    def __post_init__(self):
-        if 0 < self.placebos < 19:
-            raise ValueError("fewer than 19 placebos certify nothing: take 0 or at least 19")
-        if self.budget < 1 or not self.seeds or len(set(self.seeds)) < len(self.seeds):
-            raise ValueError("a budget of at least 1 and distinct seeds are needed")
-
-
 def plan(cfg: SearchConfig, folds: int) -> dict:
     """Fits a run takes at least and at most."""
     each = len(cfg.seeds) * folds
@@ -65,18 +40,6 @@ class Degenerate(ValueError):
     """A candidate whose values can't help on a fold's training rows."""
 
 
-@dataclass
-class Outcome:
-    trial: int
-    spec: object
-    status: str  # accepted, rejected, failed, duplicate
-    reason: str
-    formula: str | None = None
-    gain: float | None = None
-    p_value: float | None = None
-    delta_f1: float | None = None
-
-
 class Evaluator:
     """Fits and caches: values by spec, predictions by accepted features."""
 
@@ -124,7 +87,7 @@ class Evaluator:
         base = self.events.select("market_ticker", "t0")
         placed = materialised(positions(base))
         for j in range(self.cfg.placebos):
-            offsets = draw_offsets(placed, np.random.default_rng([self.cfg.placebo_seed, int(spec.key, 16), j]), self.cfg.placebo_min_shift)
+            offsets = draw_offsets(placed, f"{self.cfg.placebo_seed}|{spec.key}|{j}", self.cfg.placebo_min_shift)
             moved = None
             for k in self.splits:
                 mine = values.filter(F.col("fold") == k).select("market_ticker", "t0", "role", "value")
@@ -155,144 +118,6 @@ class Evaluator:
         }
 
 
-# -- proposers --
-
-
-class RandomArm:
-    """Draws specs without repeating one, as long as redraws find another."""
-
-    name = "random"
-
-    def __init__(self, seed: int, cfg: SearchConfig, redraws: int = 100):
-        self.rng, self.cfg, self.redraws, self.seen = np.random.default_rng(seed), cfg, redraws, set()
-
-    def propose(self, history: list[Outcome], accepted: list[Spec]) -> object:
-        for _ in range(self.redraws):
-            spec = language.draw(self.rng, self.cfg.max_depth, list(self.cfg.columns), self.cfg.include_cross)
-            if spec.key not in self.seen:
-                break
-        self.seen.add(spec.key)
-        return spec.to_json()
-
-    def observe(self, outcome: Outcome) -> None:
-        pass
-
-
-class TpeArm:
-    """Tree-structured Parzen estimator over the decisions that make a spec.
-
-    Of several drawn specs it proposes the one most likely under the better quarter of the
-    trials so far relative to the rest; counts are smoothed by one for every choice.
-    """
-
-    name = "tpe"
-
-    def __init__(self, seed: int, cfg: SearchConfig, startup: int = 10, draws: int = 24, share: float = 0.25):
-        self.rng, self.cfg, self.startup, self.draws, self.share = np.random.default_rng(seed), cfg, startup, draws, share
-        self.tried: list[tuple[dict, float]] = []
-        self.seen: set[str] = set()
-        self.last: dict | None = None
-
-    def weights(self, trials: list[dict], name: str, choices: tuple) -> np.ndarray:
-        counts = Counter(repr(t[name]) for t in trials if name in t)
-        w = np.array([1.0 + counts[repr(c)] for c in choices])
-        return w / w.sum()
-
-    def propose(self, history: list[Outcome], accepted: list[Spec]) -> object:
-        args = (self.cfg.max_depth, list(self.cfg.columns), self.cfg.include_cross)
-        ranked = sorted(self.tried, key=lambda t: -t[1])
-        n = math.ceil(self.share * len(ranked))
-        good, bad = [t for t, _ in ranked[:n]], [t for t, _ in ranked[n:]]
-        best, top = None, -math.inf
-        for k in range(10 * self.draws):
-            score, chosen = 0.0, {}
-
-            def suggest(name: str, choices: tuple) -> object:
-                nonlocal score
-                g, b = self.weights(good, name, choices), self.weights(bad, name, choices)
-                k = int(self.rng.choice(len(choices), p=g)) if len(self.tried) >= self.startup else int(self.rng.integers(len(choices)))
-                score += math.log(g[k] / b[k])
-                chosen[name] = choices[k]
-                return choices[k]
-
-            spec = language.grow(suggest, *args)
-            if spec.key not in self.seen and score > top:
-                best, top, self.last = spec, score, chosen
-            if best is not None and (k + 1 >= self.draws or len(self.tried) < self.startup):
-                break
-        if best is None:
-            best, self.last = spec, chosen
-        self.seen.add(best.key)
-        return best.to_json()
-
-    def observe(self, outcome: Outcome) -> None:
-        if self.last is not None and outcome.status in ("accepted", "rejected") and outcome.gain is not None:
-            self.tried.append((self.last, outcome.gain))
-        self.last = None
-
-
-class ReplayMismatch(RuntimeError):
-    """A replayed conversation asks something else than was recorded."""
-
-
-class ModelArm:
-    """Asks a language model, given as ``ask(request) -> {"text", "usage"}``, for specs.
-
-    ``mode`` says what it is told: ``full`` all outcomes, ``no_history`` the accepted
-    features only, ``blind`` the language alone. An invalid answer is asked to be repaired,
-    at no cost to the budget. All calls are kept, so that ``replay`` can stand in for ``ask``.
-    """
-
-    name = "model"
-
-    def __init__(self, ask: Callable[[dict], dict], cfg: SearchConfig, mode: str = "full", repairs: int = 2):
-        if mode not in ("full", "no_history", "blind"):
-            raise ValueError(f"unknown mode {mode!r}")
-        self.ask, self.cfg, self.mode, self.repairs = ask, cfg, mode, repairs
-        self.calls: list[dict] = []
-        self.tokens: Counter = Counter()
-
-    def told(self, history: list[Outcome], accepted: list[Spec]) -> str:
-        lines = [] if self.mode == "blind" else ["Accepted: " + "; ".join(s.formula() for s in accepted)]
-        if self.mode == "full":
-            lines += [f"{o.trial} {o.formula} {o.status} {scrub_text(o.reason)} gain={o.gain}" for o in history]
-        return "\n".join([*lines, "Propose one feature as JSON."])
-
-    def propose(self, history: list[Outcome], accepted: list[Spec]) -> object:
-        columns = list(self.cfg.columns)
-        messages = [{"role": "user", "content": self.told(history, accepted)}]
-        system = language.describe(columns, self.cfg.max_depth, self.cfg.include_cross)
-        for _ in range(self.repairs + 1):
-            request = {"system": system, "messages": list(messages)}
-            answer = self.ask(request)
-            self.calls.append({"request": request, "answer": answer})
-            self.tokens.update({k: v for k, v in answer.get("usage", {}).items() if "tokens" in k and isinstance(v, (int, float))})
-            text = answer["text"]
-            text = text[text.find("{") : text.rfind("}") + 1]
-            try:
-                language.parse(text, columns, self.cfg.max_depth, self.cfg.include_cross)
-                break
-            except SpecError as e:
-                messages += [{"role": "assistant", "content": answer["text"]}, {"role": "user", "content": f"That is not a valid feature: {e}"}]
-        return text
-
-    def observe(self, outcome: Outcome) -> None:
-        pass
-
-
-def replay(calls: list[dict]) -> Callable[[dict], dict]:
-    """An ``ask`` that gives recorded answers, and refuses a request that differs."""
-    left: Iterator[dict] = iter(calls)
-
-    def ask(request: dict) -> dict:
-        held = next(left, None)
-        if held is None or json.dumps(held["request"], sort_keys=True) != json.dumps(request, sort_keys=True):
-            raise ReplayMismatch("the request isn't the recorded one")
-        return held["answer"]
-
-    return ask
-
-
 # -- the loop --
 
 
@@ -321,12 +146,16 @@ def prepare(folder: str, force: bool, sealed: str | None) -> None:
     os.makedirs(folder, exist_ok=True)
 
 
-def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, folder: str, classifier: Callable = boosted, force: bool = False, sealed: str | None = None, oof: bool = True) -> dict:
+def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, folder: str, classifier: Callable = boosted, force: bool = False, sealed: str | None = None, oof: bool = True, dry: bool = False) -> dict:
     """Exactly ``cfg.budget`` trials; logs trials.jsonl, run.json and, with ``oof``, out-of-fold tables.
 
     What is invalid, degenerate or a repetition costs a trial; any other error stops the run
-    and is logged.
+    and is logged. An arm that talks leaves transcript.jsonl. A ``dry`` run neither reads a table
+    nor writes a file: it gives the configuration, its fits for five folds, and the first message.
     """
+    if dry:
+        first = {"system": arm.system(), "message": arm.message([], [])} if isinstance(arm, ModelArm) else None
+        return {"arm": arm.name, "config": asdict(cfg), "plan": plan(cfg, 5), "status": "dry", "request": first}
     prepare(folder, force, sealed)
     ev = Evaluator(events, folds, cfg, classifier)
     accepted: list[Spec] = []
@@ -343,7 +172,7 @@ def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, fold
             began, proposal = time.perf_counter(), arm.propose(list(history), list(accepted))
             outcome, verdict = Outcome(k, proposal, "failed", ""), None
             try:
-                spec = language.parse(proposal, list(cfg.columns), cfg.max_depth, cfg.include_cross)
+                spec = cfg.parse(proposal)
                 outcome.formula = spec.formula()
                 if spec.key in seen:
                     was = seen[spec.key]
@@ -365,6 +194,8 @@ def run_search(arm, events: DataFrame, folds: DataFrame, cfg: SearchConfig, fold
             arm.observe(outcome)
             record = asdict(outcome) | {"verdict": verdict.to_dict() if verdict else None, "wall_s": time.perf_counter() - began}
             append_lines(os.path.join(folder, "trials.jsonl"), [clean(record)])
+            if isinstance(arm, ModelArm):
+                write_transcript(os.path.join(folder, "transcript.jsonl"), arm.calls)
     except BaseException as e:
         run |= {"status": "crashed", "error": f"{type(e).__name__}: {e}", "trials": len(history)}
         save()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pitpanel.operators import inference as I
 from pitpanel.operators import metrics as M
 from pitpanel.operators import splits
 from pitpanel.plans import model, search
+from pitpanel.plans import proposers as P
 from pitpanel.plans.spec import col, node
 
 
@@ -72,7 +74,7 @@ def test_placebo_never_looks_ahead(spark):
     rng = np.random.default_rng(2)
     rows = [(f"m{m}", int(t), float(t)) for m in range(5) for t in sorted(rng.choice(1000, m * 3 + 1, replace=False))]
     placed = I.positions(spark.createDataFrame(pd.DataFrame(rows, columns=["market_ticker", "t0", "value"])))
-    out = I.placebo_shift(placed, I.draw_offsets(placed, rng, 2)).toPandas()
+    out = I.placebo_shift(placed, I.draw_offsets(placed, 2, 2)).toPandas()
     assert len(out) == len(rows)
     there = out.dropna()
     assert len(there) and (there["value"] < there["t0"]).all()
@@ -135,7 +137,7 @@ class Fixed:
 
 def test_search_accepts_the_planted_feature(spark, tmp_path):
     events = spark.createDataFrame(planted())
-    cfg = search.SearchConfig(budget=5, seeds=(0,), placebos=0, columns=("mid", "spread"), draws=200, classifier={"n_estimators": 12, "max_depth": 3})
+    cfg = P.SearchConfig(budget=5, seeds=(0,), placebos=0, columns=("mid", "spread"), draws=200, classifier={"n_estimators": 12, "max_depth": 3})
     good = node("roll", col("mid"), stat="mean", w=3).to_json()
     arm = Fixed([{"op": "nope"}, node("abs", col("spread")).to_json(), good, good, node("gate_pos", node("sub", col("mid"), col("mid")), col("mid")).to_json()])
     run = search.run_search(arm, events, splits.walk_forward(events, 3), cfg, str(tmp_path / "run"))
@@ -146,25 +148,127 @@ def test_search_accepts_the_planted_feature(spark, tmp_path):
         search.run_search(arm, events, splits.walk_forward(events, 3), cfg, str(tmp_path / "run"))
 
 
-def test_arms(tmp_path):
-    cfg = search.SearchConfig(budget=30, columns=("mid", "spread"))
-    a, b = search.RandomArm(3, cfg), search.RandomArm(3, cfg)
+def test_dry_run_reads_and_writes_nothing(tmp_path):
+    cfg = P.SearchConfig(budget=3)
+    out = search.run_search(P.ModelArm(lambda _: {}, cfg), None, None, cfg, str(tmp_path / "run"), dry=True)
+    assert out["status"] == "dry" and out["plan"]["fits_min"] == 100 and "Propose" in out["request"]["message"] and not (tmp_path / "run").exists()
+
+
+def test_uniform_and_estimating_arms():
+    cfg = P.SearchConfig(budget=30, columns=("mid", "spread"))
+    a, b = P.RandomArm(3, cfg), P.RandomArm(3, cfg)
     first = [str(a.propose([], [])) for _ in range(30)]
     assert first == [str(b.propose([], [])) for _ in range(30)] and len(set(first)) == 30
-    tpe = search.TpeArm(1, cfg)
-    for k in range(30):
-        spec = tpe.propose([], [])
-        tpe.observe(search.Outcome(k, spec, "rejected", "", gain=1.0 if spec["op"] == "roll" else 0.0))
-    assert len(tpe.seen) == 30
-    answers = iter(["nonsense", '{"op": "abs", "args": [{"col": "mid"}]}'])
-    arm = search.ModelArm(lambda request: {"text": next(answers), "usage": {"output_tokens": 3}}, cfg)
-    assert "abs" in arm.propose([], []) and len(arm.calls) == 2 and arm.tokens["output_tokens"] == 6
-    again = search.ModelArm(search.replay(arm.calls), cfg)
-    assert "abs" in again.propose([], [])
-    with pytest.raises(search.ReplayMismatch):
-        search.ModelArm(search.replay(arm.calls), cfg, mode="blind").propose([], [])
     with pytest.raises(ValueError):
-        search.SearchConfig(placebos=5)
+        P.SearchConfig(placebos=5)
+
+    def run(arm, n):
+        out = []
+        for k in range(n):
+            out.append(arm.propose([], []))
+            arm.observe(P.Outcome(k, out[-1], "rejected", "", gain=1.0 if out[-1]["op"] == "roll" else 0.0))
+        return out
+
+    rolls = [sum(s["op"] == "roll" for s in run(P.TpeArm(seed, P.SearchConfig(budget=60)), 60)[20:]) for seed in range(5)]
+    assert sum(rolls) > 2 * 5 * 40 / 28  # more than twice what uniform draws give
+    arm = P.TpeArm(1, cfg)
+    assert len({str(s) for s in run(arm, 30)}) == 30 and len(arm.finished) == 30
+    arm.propose([], [])
+    arm.observe(P.Outcome(30, None, "failed", "no"))
+    arm.propose([], [])
+    arm.observe(P.Outcome(31, None, "duplicate", "no", gain=2.0))
+    assert len(arm.finished) == 30 and len(arm.pruned) >= 2
+    again = P.TpeArm(1, cfg, restart=True)
+    again.propose([], [])
+    again.observe(P.Outcome(0, None, "accepted", "", gain=1.0))
+    assert not again.finished and not again.pruned
+
+
+def test_estimator_falls_back_to_unseen_draws():
+    """A space of few specs: once all of one kind are proposed, others come."""
+    cfg = P.SearchConfig(budget=40, columns=("mid",), max_depth=1)
+    arm = P.TpeArm(2, cfg, startup=5, redraws=2)
+    for k in range(35):
+        spec = arm.propose([], [])
+        arm.observe(P.Outcome(k, spec, "rejected", "", gain=1.0 if spec["op"] == "abs" else 0.0))
+    assert len(arm.seen) == 35
+
+
+SPECS = [node("abs", col("mid")), node("roll", col("mid"), stat="mean", w=3), node("mul", col("mid"), col("spread"))]
+HISTORY = [
+    P.Outcome(0, SPECS[0].to_json(), "accepted", "all checks passed", SPECS[0].formula(), 0.0417, 0.0213),
+    P.Outcome(1, SPECS[1].to_json(), "rejected", "p above alpha on 2024-05-01", SPECS[1].formula(), 0.0311, 0.6842),
+    P.Outcome(2, '{"op": "frobnicate"}', "failed", "invalid", None),
+    P.Outcome(3, SPECS[1].to_json(), "duplicate", "duplicate of trial 1", SPECS[1].formula(), 0.0311, 0.6842),
+]
+CFG = P.SearchConfig(budget=9, columns=("mid", "spread"))
+
+
+def model_arm(mode="full", answers=(), cfg=CFG, **more):
+    left = iter(answers)
+    made = P.ModelArm(lambda _: {"text": next(left), "usage": {"output_tokens": 3}}, cfg, mode, **more)
+    made.rationales = {0: "magnitude matters", 1: "momentum persists"}
+    return made
+
+
+def test_full_mode_tells_all():
+    text = model_arm().message(HISTORY, [SPECS[0]])
+    for part in ("accepted", "rejected", "failed 1", "duplicate", "0.0417", "0.6842", SPECS[1].formula(), "frobnicate", "momentum persists", "roll 2", "Trial 5 of 9", "p above alpha"):
+        assert part in text
+    assert "2024" not in text and "none" in model_arm().message([], [])
+
+
+def test_blind_mode_tells_own_proposals_and_no_outcome():
+    arm = model_arm("blind")
+    text = arm.message(HISTORY, [SPECS[0]])
+    assert SPECS[0].formula() in text and SPECS[1].formula() in text and "frobnicate" in text and "momentum persists" in text
+    for part in ("accepted", "rejected", "failed", "duplicate", "gain", "0.04", "0.03", "0.68", "alpha"):
+        assert part not in text
+    flipped = [replace(o, status="accepted", gain=0.5, p_value=0.001, reason="r") for o in HISTORY]
+    assert arm.message(flipped, SPECS) == text and arm.system() == model_arm("full").system()
+    assert "proposals" not in arm.message([], [])
+
+
+def test_no_history_mode_tells_accepted_features_alone():
+    arm = model_arm("no_history")
+    text = arm.message(HISTORY, [SPECS[0]])
+    assert SPECS[0].formula() in text and SPECS[1].formula() not in text and "frobnicate" not in text and "rejected" not in text
+    assert arm.message(HISTORY[:1] * 4, [SPECS[0]]) == text
+
+
+def test_long_histories_are_cut():
+    many = [P.Outcome(k, SPECS[k % 3].to_json(), "accepted" if k == 0 else "rejected", "r", SPECS[k % 3].formula(), 0.1, 0.2) for k in range(10)]
+    full, blind = (model_arm(mode, shown=3).message(many, []) for mode in ("full", "blind"))
+    assert "7 of 10 left out" in full and "\n1 | accepted" in full and "7 of 10 left out" in blind and "\n1 |" not in blind
+    assert blind == model_arm("blind", shown=3).message([replace(o, status="rejected") for o in many], [])
+
+
+def test_system_text_states_the_rule_of_the_search():
+    strict = P.SearchConfig(alpha=0.01, placebos=39, placebo_min_shift=3, min_valid=250, require_f1=True)
+    text = model_arm(cfg=strict).system()
+    assert all(x in text for x in ("0.01", "39 placebo", "moved by 3 events", "250 values", "Macro F1")) and "sign-flip" not in text
+    assert "placebo" not in model_arm(cfg=P.SearchConfig(placebos=0)).system()
+
+
+def test_repairs_transcripts_and_replay(tmp_path):
+    good = '{"rationale": "it is simple", "spec": {"op": "abs", "args": [{"col": "mid"}]}}'
+    arm = model_arm(answers=["nonsense", '{"op": "nope"}', good, '{"op": "abs", "args": [{"col": "spread"}]}'])
+    assert arm.propose([], []) == SPECS[0].to_json() and len(arm.calls) == 3 and arm.tokens["output_tokens"] == 9 and arm.rationales[0] == "it is simple"
+    assert "no operator 'nope'" in arm.calls[2]["request"]["messages"][0]["content"]
+    arm.propose(HISTORY[:1], [SPECS[0]])
+    path = str(tmp_path / "t.jsonl")
+    P.write_transcript(path, arm.calls)
+    assert P.read_transcript(path) == arm.calls
+    again = P.ModelArm(P.replay(P.read_transcript(path)), CFG)
+    assert again.propose([], []) == SPECS[0].to_json() and again.calls == arm.calls[:3]
+    with pytest.raises(P.ReplayMismatch, match="differs from the recorded one at /messages/0/content"):
+        P.ModelArm(P.replay(arm.calls), CFG).propose(HISTORY, [])
+    with pytest.raises(P.ReplayMismatch, match="only 1 calls"):
+        P.ModelArm(P.replay(arm.calls[:1]), CFG).propose([], [])
+    never = model_arm(answers=["no"] * 3)
+    assert never.propose([], []) == "" and never.rationales[0] == ""
+    with pytest.raises(ValueError):
+        model_arm("half")
 
 
 def test_trees_learn_and_explain():
