@@ -1,25 +1,35 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A text up to ``chunk`` characters is encoded whole. A longer one is cut into chunks
-that overlap, each encoded with offsets. Two neighbours are spliced at a boundary
-that is proven stable: a plain white-space character inside the overlap that both
-encodings leave out and on both sides of which they have the same tokens at the same
-offsets. Normalising, splitting into words and merging never reach over such a
-character, so what stands before it is as in the left chunk and what stands after it
-is as in the right one, as it would be in the whole text. Where the overlap has no
-such place it is widened twofold, at last to the whole rest of the text.
-
-Memory is bounded by the chunk, unless a text has no white space at all for longer.
+A text up to ``chunk`` characters is encoded whole. A longer one is cut into chunks that
+overlap, each encoded with offsets; a chunk begins where the one before it begins a token.
+Two neighbours are spliced at a token that both have at the same place, away from the ends
+of the overlap: tokens before it are taken from the left chunk, it and later ones from the
+right one. Where there is no such token the overlap is widened twofold, at last to the whole
+rest of the text.
+
+Why such a token is a stable boundary. *Merges*: two tokens are neighbours in an encoding if
+no merge that the two of them allow reaches over their border, whatever stands further away;
+so a sequence is the encoding of its text if each pair of neighbours in it is one in some
+encoding. All pairs up to the common token are from the left chunk, all from it on from the
+right one. *Words*: they are runs that are found from left to right without looking back, so
+two scans that are inside one run, or at one border, go on alike. *Normalising* takes white
+space together and composes characters; a boundary begins a token, so it isn't white space,
+and stands before a character that composes with none before it. *Special strings* are
+shorter than ``MARGIN``, and the left chunk, which reaches beyond, would show one here.
+
+Memory is bounded by the chunk, whether or not a text has white space, unless no overlap
+has a common token.
 
 Defined results: a null text is an empty one with no tokens; repeated rows give
 repeated rows; an empty table gives an empty one; other columns are left out. Strings
-of special tokens inside a text are handled as the library does by default; they hold
-no white space, so no splice falls into one.
+of special tokens inside a text are handled as the library does by default. Of several
+common tokens the one nearest to the middle of the overlap is taken, which alters nothing.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -32,8 +42,23 @@ from pitpanel.llm.common import id_and_text, map_texts
 
 CHUNK = 65_536
 OVERLAP = 512
-#: White space that no normaliser composes with its neighbours.
-BREAKS = " \n\t\r"
+#: Characters between a splice and either end of the overlap.
+MARGIN = 64
+
+
+@lru_cache(maxsize=1)
+def trailing() -> frozenset[str]:
+    """Characters that can be composed with the one before them: marks, the second parts of
+    canonical decompositions, and the vowels and finals of Hangul syllables."""
+    out = {chr(k) for k in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for k in range(0x110000):
+        c = chr(k)
+        if unicodedata.combining(c):
+            out.add(c)
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
 
 
 @lru_cache(maxsize=2)
@@ -58,58 +83,60 @@ class Chunk:
         offsets = np.array(made.offsets, dtype=np.int64).reshape(-1, 2) + start
         self.begins, self.ends = offsets[:, 0], offsets[:, 1]
 
-    def between(self, a: int, b: int) -> tuple[int, int]:
-        """Tokens that begin at a or later and end at b or earlier, as a range."""
-        return int(np.searchsorted(self.begins, a)), int(np.searchsorted(self.ends, b, side="right"))
-
-    def clear(self, p: int) -> bool:
-        """Whether no token reaches over p."""
-        k = int(np.searchsorted(self.begins, p, side="right"))
-        return k == 0 or self.ends[k - 1] <= p
-
-
-def stable_boundary(text: str, left: Chunk, right: Chunk) -> int | None:
-    """A place in the overlap where both encodings may be spliced, or None.
-
-    The words next to it on both sides have to lie wholly inside the overlap, with
-    the same tokens in both encodings.
-    """
-    places = [p for p in range(right.start, left.end) if text[p] in BREAKS]
-    for k in range(len(places) // 2, 0, -1):  # from the middle, where both have context
-        if k + 1 >= len(places):
-            continue
-        a, p, b = places[k - 1], places[k], places[k + 1]
-        if not (left.clear(p) and right.clear(p)):
-            continue
-        (la, lb), (ra, rb) = left.between(a, b), right.between(a, b)
-        if lb - la == rb - ra and all(
-            (x[la:lb] == y[ra:rb]).all() for x, y in ((left.ids, right.ids), (left.begins, right.begins), (left.ends, right.ends))
-        ):
-            return p
+    def token(self, k: int) -> tuple[int, ...]:
+        return tuple(int(x[k]) for x in (self.ids, self.begins, self.ends) if k < len(x))
+
+    def clean(self) -> np.ndarray:
+        """Numbers of the tokens that begin where the one before has ended."""
+        if not len(self.ids):
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(np.append(True, (self.begins[1:] >= self.ends[:-1]) & (self.begins[1:] > self.begins[:-1])))
+
+    def start_before(self, text: str, p: int) -> int | None:
+        """The last place at or before p where a token begins that a chunk may begin with."""
+        clean = self.clean()
+        for k in clean[: np.searchsorted(self.begins[clean], p, side="right")][::-1].tolist():
+            if text[self.begins[k]] not in trailing():
+                return int(self.begins[k])
+        return None
+
+
+def splice(text: str, left: Chunk, right: Chunk) -> tuple[int, int] | None:
+    """Numbers of a common token in both chunks where they may be spliced, or None."""
+    a, b = (c.clean() for c in (left, right))
+    places, i, j = np.intersect1d(left.begins[a], right.begins[b], assume_unique=True, return_indices=True)
+    i, j = a[i], b[j]
+    same = (left.ids[i] == right.ids[j]) & (left.ends[i] == right.ends[j])
+    same &= (places >= right.start + MARGIN) & (left.ends[i] <= left.end - MARGIN)
+    found = np.flatnonzero(same)
+    for k in found[np.argsort(np.abs(places[found] - (right.start + left.end) / 2), kind="stable")].tolist():
+        if text[places[k]] not in trailing():
+            return int(i[k]), int(j[k])
     return None
 
 
 def count_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
     """Tokens of a long text, and the number of times that an overlap was widened."""
-    total, widened, done = 0, 0, 0
+    total, widened, first = 0, 0, 0  # ``first``: the left chunk's first token that isn't counted yet
     left = Chunk(tok, text, 0, min(chunk, len(text)))
     while left.end < len(text):
         reach = overlap
         while True:
-            start = max(left.end - reach, done)
-            right = Chunk(tok, text, start, min(left.end + chunk, len(text)))
-            p = stable_boundary(text, left, right)
-            if p is not None:
-                a, b = left.between(done, p)
-                total, done, left = total + b - a, p, right
+            start = left.start_before(text, left.end - reach)
+            right = None if start is None or start <= left.start else Chunk(tok, text, start, min(left.end + chunk, len(text)))
+            met = splice(text, left, right) if right else None
+            if met and met[0] >= first:
+                total, first, left = total + met[0] - first, met[1], right
                 break
             widened += 1
-            if start == done:  # no place to splice: one chunk, twice as long
-                left = Chunk(tok, text, done, min(2 * right.end - done, len(text)))
+            if right is None:  # no place to splice: one chunk, twice as long
+                longer = Chunk(tok, text, left.start, min(left.start + 2 * (left.end - left.start), len(text)))
+                if first and longer.token(first) != left.token(first):  # all that is left: the whole
+                    return len(tok.encode(text, add_special_tokens=False).ids), widened
+                left = longer
                 break
             reach *= 2
-    a, b = left.between(done, len(text))
-    return total + b - a, widened
+    return total + len(left.ids) - first, widened
 
 
 def count(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -103,6 +106,32 @@ def test_splices_equal_whole_encoding():
     assert widened
 
 
+def test_long_texts_without_white_space_take_bounded_memory():
+    tok = op3_token_count.tokenizer(WORDS)
+    rnd = random.Random(6)
+    some = [chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(500)]
+    kinds = [some, ["a"], ["ab"], list("abcdefgh"), list("각난닫랄"), ["w\u00f6rd", "\u00a0"], ["a\u0301", "o", "\u0328"], ["'", "s", "!", "r", "e"], ["<|endoftext|>", "<|", "text"]]
+    for parts in kinds:
+        text = "".join(rnd.choice(parts) for _ in range(20_000))
+        for chunk, overlap in ((4000, 300), (7001, 512)):
+            n, widened = op3_token_count.count_long(tok, text, chunk, overlap)
+            assert n == len(tok.encode(text, add_special_tokens=False).ids) and widened <= 3
+    code = f"""
+import random, resource
+from pitpanel.llm import op3_token_count as op
+tok, rnd = op.tokenizer({WORDS!r}), random.Random(1)
+some = [chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(1000)]
+text = "".join(rnd.choice(some) for _ in range(1_700_000))
+op.count_long(tok, text[:200_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n, _ = op.count_long(tok, text)
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True, timeout=300)
+    n, megabytes = map(float, done.stdout.split())
+    assert n > 1_700_000 and megabytes < 100
+
+
 def test_counts(spark, sf_dir, make, edges):
     tok = op3_token_count.tokenizer(WORDS)
     rows = {r["doc_id"]: r for r in op3_token_count.count(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORDS, chunk=2000, overlap=40).collect()}
