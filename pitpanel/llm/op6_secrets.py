@@ -2,18 +2,20 @@
 
 Base patterns find assigned secrets, access identifiers and long hexadecimal runs.
 Weaker parts (named identifiers, short or loosely named secrets, endpoints) are reported
-only where complementary parts stand within ``SCOPE`` characters in the same document:
-an identifier or endpoint beside a secret, a secret beside an identifier or endpoint.
+only where complementary parts of the same document have at most ``SCOPE`` characters between
+them: an identifier or endpoint beside a secret, a secret beside an identifier or endpoint.
 
 A pattern's matches and the pieces between them come as two arrays; offsets are running
 sums of their lengths. The matches become rows, are shuffled once by a row number, and
-an interval join of each part with the other roles in its scope is a range frame over the
-document's parts, sorted by start. Work is linear in a document's parts, apart from what
-stands within one scope.
+an interval join of each part with the other roles in its scope is a comparison with the
+greatest end before it and the least start after it, running over the document's parts. Work
+is linear in a document's parts but for sorting them.
 
 Defined results: a null text is an empty one without secrets; repeated rows give
 repeated rows, null or repeated ids included; an empty table gives an empty one; other
-columns are left out. Texts are scanned whole; no document meets another.
+columns are left out. Spans at one start go by kind, then end; parts that overlap are beside
+each other, and a part may link any number of others. Texts of any length are scanned whole;
+no document meets another.
 """
 
 from __future__ import annotations
@@ -76,12 +78,18 @@ def find(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     before = Window.partitionBy("row", "kind").orderBy("at")
     placed = each.withColumn("start", F.sum(F.col("gap").cast("bigint") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     kinds = {role: [k for k, (_, r, *_) in enumerate(PARTS) if r == role] for role in ("id", "secret", "endpoint")}
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    beside = {role: F.max(F.col("good") & F.col("kind").isin(numbers)).over(near) for role, numbers in kinds.items()}
+    placed = placed.withColumn("end", F.col("start") + F.col("size"))
+    # A part is beside another if at most ``scope`` characters stand between them: one that begins
+    # earlier and ends late enough, or one that begins not later than the scope after the end.
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    reach = {role: F.max(F.when(F.col("good") & F.col("kind").isin(numbers), F.col("end"))).over(before) for role, numbers in kinds.items()}
+    after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    next_ = {role: F.min(F.when(F.col("good") & F.col("kind").isin(numbers), F.col("start"))).over(after) for role, numbers in kinds.items()}
+    beside = {role: F.coalesce(reach[role] >= F.col("start") - scope, F.lit(False)) | F.coalesce(next_[role] <= F.col("end") + scope, F.lit(False)) for role in kinds}
     linked = placed.select("*", *(c.alias(f"with_{role}") for role, c in beside.items()))
     base = F.col("kind") <= 2
     kept = F.col("good") & (base | F.when(F.col("kind").isin(kinds["secret"]), F.col("with_id") | F.col("with_endpoint")).otherwise(F.col("with_secret")))
-    span = F.struct(F.col("start").cast("int").alias("start"), F.col("kind"), (F.col("start") + F.col("size")).cast("int").alias("end"))
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("kind"), F.col("end").cast("int").alias("end"))
     return linked.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(kept, span))).alias("spans")).drop("row")
 
 
@@ -116,7 +124,7 @@ placed AS (SELECT r, kind, m, CAST(sum(length(p) + length(m)) OVER (PARTITION BY
 good AS (SELECT r, kind, e - length(m) AS s, e FROM placed
          WHERE CASE kind WHEN 0 THEN n >= 12 WHEN 4 THEN n >= 6 AND (n < 12 OR NOT regexp_matches(m, '^({NAMES})', 'i')) ELSE true END),
 role AS (SELECT *, CASE kind WHEN 1 THEN 'i' WHEN 3 THEN 'i' WHEN 5 THEN 'e' ELSE 's' END AS role FROM good),
-kept AS (SELECT * FROM role a WHERE kind <= 2 OR EXISTS (SELECT 1 FROM role b WHERE b.r = a.r AND abs(a.s - b.s) <= {SCOPE}
+kept AS (SELECT * FROM role a WHERE kind <= 2 OR EXISTS (SELECT 1 FROM role b WHERE b.r = a.r AND b.s <= a.e + {SCOPE} AND b.e >= a.s - {SCOPE}
          AND CASE a.role WHEN 's' THEN b.role <> 's' ELSE b.role = 's' END)),
 out AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
                string_agg(([{', '.join(repr(k) for k in KINDS)}])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
