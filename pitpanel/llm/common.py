@@ -114,3 +114,20 @@ def store(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that may be broadcast: a key with more than 1 / HOT of all rows is one of
+#: fewer than HOT.
+HOT = 100_000
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) with ``table``, which has one row a key and ``n``,
+    the number of its rows, which is dropped.
+
+    Keys of more than 1 / HOT of the ``total`` rows, of which there are fewer than HOT, are
+    joined where their rows are; the others by a shuffle, in which no key is large.
+    """
+    hot = table.filter(F.col("n") > total / HOT)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= total / HOT), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold).drop("n")

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import by_position, cut, id_and_text, map_texts, store
+from pitpanel.llm.common import HOT, by_position, cut, id_and_text, map_texts, meet, store
 
 DISTANCE = 4
 SHINGLE = 4
@@ -63,9 +63,6 @@ BANDS, ROWS, WIDE = 24, 5, 24
 TEXTS = 2048
 #: How often a group that is too large is dealt again before it is cut into parts.
 LEVELS = 2
-#: Rows of a table that may be broadcast: a key with more than 1 / HOT of all rows is one of
-#: fewer than HOT.
-HOT = 100_000
 
 
 def hashes(words: list[bytes], size: int) -> list[int]:
@@ -316,17 +313,6 @@ def _and_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row a key and ``n``, the number of its rows.
-
-    Keys of more than 1 / HOT of the ``total`` rows, of which there are fewer than HOT, are
-    joined where their rows are; the others by a shuffle, in which no key is large.
-    """
-    hot = table.filter(F.col("n") > total / HOT)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= total / HOT), key)
-    return rows.join(F.broadcast(hot), key).unionByName(cold).drop("n")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for the nodes of the edges ``u, v``: the root is the least node."""
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

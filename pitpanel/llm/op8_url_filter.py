@@ -7,14 +7,16 @@ own: its host and as many parent domains as the longest rule host has labels, ea
 the beginnings of its path in the lengths that rules have, and its canonical url.
 
 The keys' hashes go through a Bloom filter whose bits for a key lie in one 64-bit block.
-Keys that pass meet the table of entries in an equi-join, which removes the false ones;
-Spark broadcasts that table or shuffles it by its size, and splits skewed keys. The
+Pages of which no key passes are judged at once and shuffled no more. Keys that pass are
+counted and meet the table of entries in an inner equi-join, once each, which removes the
+false ones; what is found goes back to the pages, keys of many pages by broadcast. The
 filter itself is of bounded size: beyond ``LIMIT_BLOCKS`` only more keys pass it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, meets
 no rule and is allowed; the longest rule (host and path) wins, among equals the one with
 the longer host, then ``allow``; repeated rows give repeated rows; null entries of the
-list are left out; an empty table gives an empty one; other columns are left out.
+list are left out; an empty table gives an empty one; other columns are left out. Urls of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitpanel.llm.common import cut, meet
+
 #: (verdict, host, path) of the fixed list of rules.
 RULES = [
     ("block", "com", "/en/"),
@@ -130,11 +134,17 @@ def judge(
             passed = pa.ListArray.from_arrays(pa.array(left), keys.flatten().filter(pa.array(good)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], passed], names=["row", "page_id", "host", "path", "keys"])
 
-    passed = rows.mapInArrow(probe, kinds).withColumn("key", F.explode_outer("keys")).drop("keys")
-    met = passed.join(entries, "key", "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), "host_len", F.when(F.col("verdict") == "allow", 1).otherwise(0), "rule", "verdict")))
-    one = met.groupBy("row", "page_id", "host", "path").agg(best.alias("best"), F.max(F.when(F.col("rule").isNull(), F.col("verdict"))).alias("single"))
-    return one.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "single", F.lit("allow")).alias("verdict"))
+    passed = rows.mapInArrow(probe, kinds)
+    none = passed.filter(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    some = cut(passed.filter(F.size("keys") > 0))
+    each = some.select("row", F.explode("keys").alias("key"))
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), "host_len", F.when(F.col("verdict") == "allow", 1).otherwise(0), "rule", "verdict"))).alias("best")
+    single = F.max(F.when(F.col("rule").isNull(), F.col("verdict"))).alias("single")
+    found = each.groupBy("key").agg(F.count("*").alias("n")).join(entries, "key").groupBy("key").agg(F.first("n").alias("n"), best, single)
+    met = meet(each, cut(found), "key", each.count())
+    one = met.groupBy("row").agg(F.max("best").alias("best"), F.max("single").alias("single"))
+    judged = some.join(one, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "single", F.lit("allow")).alias("verdict"))
+    return none.unionByName(judged)
 
 
 #: The query's list of single urls: the pages whose host has a label beginning so.
