@@ -3,11 +3,12 @@
 ``write_archives`` turns each text's UTF-8 bytes, padded with zeros to rows of 64, into
 a lossless 8-bit greyscale PNG and appends it to a tar archive; every task writes its own
 archives into one directory of the shared storage, and beside each an index of its
-members (id, offset, length, checksum). An archive appears under its name only when it is
-whole; a repeated task writes the same bytes again.
+members (id, offset, length, checksum). An archive appears under its name, which tells the
+number of its members, only when it is whole; a repeated task leaves what is there.
 
 ``ArchiveSource`` plans partitions as byte ranges of the archives in a directory: from
-the list of files alone, so the plan doesn't grow with the members. A partition reads
+the list of files alone, so the plan doesn't grow with the members. The numbers of members
+have to add up to what was written, so no lost archive goes unnoticed. A partition reads
 those members whose offset lies in its range and streams them in Arrow batches of bounded
 size. Each member is read by its own offset and checked; a failure reopens the file and
 tries that member again, and only that one.
@@ -16,7 +17,8 @@ tries that member again, and only that one.
 
 Defined results: a null text is an empty one, of one row of zeros; ids can be null or
 repeated, each row is a member of its own; an empty table gives no archive and no rows;
-other columns are left out. Equal texts have equal files, checksums and features.
+other columns are left out. Equal texts have equal files, checksums and features. A text of
+any length is one member, and is held whole, with its samples, while it is written or read.
 """
 
 from __future__ import annotations
@@ -111,10 +113,12 @@ class ArchiveWriter:
         with self.fs.open_output_stream(f"{self.aside}.idx") as out, pa.ipc.new_file(out, index.schema) as sink:
             sink.write_table(index)
         for kind in ("idx", "tar"):  # the archive last: a reader sees it only with its index
-            to = f"{self.root}/{self.name}.{kind}"
-            if self.fs.get_file_info(to).type != pafs.FileType.NotFound:
-                self.fs.delete_file(to)
-            self.fs.move(f"{self.aside}.{kind}", to)
+            to = f"{self.root}/{self.name}-{len(self.rows)}.{kind}"
+            # Another attempt at this task has written the same bytes: they stay, ours go.
+            if self.fs.get_file_info(to).type == pafs.FileType.NotFound:
+                self.fs.move(f"{self.aside}.{kind}", to)
+            else:
+                self.fs.delete_file(f"{self.aside}.{kind}")
 
 
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> tuple[int, int]:
@@ -146,6 +150,10 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         yield pa.RecordBatch.from_arrays([pa.array([len(done)], pa.int64()), pa.array([sum(done)], pa.int64())], names=["archives", "members"])
 
     made = docs.mapInArrow(run, "archives bigint, members bigint").agg(F.sum("archives"), F.sum("members")).first()
+    fs, root = pafs.FileSystem.from_uri(folder)
+    for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith("_"):  # of attempts that failed
+            fs.delete_file(info.path)
     return made[0] or 0, made[1] or 0
 
 
@@ -177,22 +185,29 @@ class MemberReader:
         raise OSError(f"member at {offset} of {self.path} can't be read: {why}")
 
 
+def members_of(path: str) -> int:
+    """How many members an archive has, by its name."""
+    return int(path.removesuffix(".tar").rpartition("-")[2])
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
         self.tries = int(options.get("tries", TRIES))
+        self.members = options.get("members")
         self.names = [f.name for f in schema]
 
     def partitions(self) -> list[InputPartition]:
         fs, root = pafs.FileSystem.from_uri(self.folder)
-        if fs.get_file_info(root).type == pafs.FileType.NotFound:
-            return [ByteRange("", 0, 0)]
-        out = []
-        for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda x: x.path):
+        out, members = [], 0
+        for info in sorted(fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)), key=lambda x: x.path):
             if info.base_name.endswith(".tar") and not info.base_name.startswith("_"):
                 out += [ByteRange(info.path, at, at + self.range_bytes) for at in range(0, info.size, self.range_bytes)]
+                members += members_of(info.path)
+        if self.members is not None and members != int(self.members):
+            raise OSError(f"the archives in {self.folder} have {members} members and not {self.members}")
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -201,6 +216,8 @@ class ArchiveReader(DataSourceReader):
         fs, _ = pafs.FileSystem.from_uri(self.folder)
         with fs.open_input_file(f"{partition.path[:-4]}.idx") as source:
             index = pa.ipc.open_file(source).read_all()
+        if len(index) != members_of(partition.path):
+            raise OSError(f"the index of {partition.path} has {len(index)} members")
         offsets = index.column("offset").to_numpy()
         first, last = np.searchsorted(offsets, [partition.start, partition.end])
         rows = index.slice(first, last - first).combine_chunks()
@@ -279,8 +296,8 @@ def store_and_describe(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Store every text in archives of the shared folder, read them back, and describe them."""
     docs = id_and_text(docs, id_col, text_col)
     folder = folder or new_path(docs.sparkSession, "media")
-    write_archives(docs, folder)
-    return features(read_archives(docs.sparkSession, folder, docs.schema["doc_id"].dataType.simpleString()))
+    _, members = write_archives(docs, folder)
+    return features(read_archives(docs.sparkSession, folder, docs.schema["doc_id"].dataType.simpleString(), members=str(members)))
 
 
 def tar_members(data: bytes) -> list[bytes]:
