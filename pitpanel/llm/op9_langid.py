@@ -11,7 +11,7 @@ times ``size`` rows) reach the driver and are sent to the tasks.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text if there is nothing to learn from; a tie goes to the language that sorts
-first; n-grams of equal frequency go by code points; training rows with null language
+first; n-grams of equal frequency go by length, then code points; training rows with null language
 or text are left out; repeated rows count as often as they stand and give repeated
 rows; an empty table gives an empty one; other columns are left out. Texts are read
 whole, in pieces of bounded length.
@@ -33,6 +33,7 @@ from pitpanel.llm.common import CHUNK_CHARS, by_position, chunks, id_and_text, m
 
 SIZE = 300
 UNKNOWN = "und"
+EDGE = 1
 WORD = re.compile(r"[^\W\d_]+")
 #: n-grams that a task holds before it hands their counts on.
 HELD = 400_000
@@ -45,17 +46,17 @@ def letters() -> np.ndarray:
 
 
 def codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased letters, each run of others as one 0, 0 at both ends."""
+    """Code points of the lower-cased letters; each run of others, and either end, is one EDGE."""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    raw = np.concatenate([[0], np.where(letters()[raw], raw, 0), [0]])
-    return raw[np.concatenate([[True], (raw[1:] > 0) | (raw[:-1] > 0)])]
+    raw = np.concatenate([[EDGE], np.where(letters()[raw], raw, EDGE), [EDGE]])
+    return raw[np.concatenate([[True], (raw[1:] > EDGE) | (raw[:-1] > EDGE)])]
 
 
 def grams(c: np.ndarray) -> np.ndarray:
     """The n-grams of such codes, each as one integer of 21 bits a letter."""
     two = c[:-1] << 21 | c[1:]
     three = two[:-1] << 21 | c[2:]
-    return np.concatenate([c[c > 0], two, three[c[1:-1] > 0]])
+    return np.concatenate([c[c > EDGE], two, three[c[1:-1] > EDGE]])
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,7 @@ class Profiles:
 
     def predict(self, text: str) -> tuple[str, float]:
         found, n = counted(text)
-        if not len(found) or not self.languages or not n.any() or found[-1] == 0:
+        if not len(found) or not self.languages:
             return UNKNOWN, 0.0
         if len(found) > self.size:  # only those that can be among the most frequent
             least = np.partition(n, len(n) - self.size)[len(n) - self.size]
