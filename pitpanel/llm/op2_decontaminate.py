@@ -6,9 +6,11 @@ item are a window (an item of fewer words is one window). The windows' hashes ar
 broadcast; tasks scan the windows of training texts against them, compare the words
 of each hit, and mark the words of all windows found.
 
-The benchmark's size is measured before it is broadcast. Beyond ``LIMIT_BYTES`` it is
-dealt by hash into blocks of about that size, each block is broadcast in turn and
-scans all documents, and the hits of a document are united: the result is the same.
+The benchmark's size is measured before it is broadcast, in bytes of its words; what is
+broadcast is some 25 bytes a window and, at most, 100 a different word. Beyond ``LIMIT_BYTES``
+it is dealt by hash into blocks of about that size, each block is broadcast in turn and
+scans all documents, and the hits of a document are united: the result is the same. An
+item of more than ``ITEM_WORDS`` windows is dealt in parts.
 
 Defined results: a null or wordless document has no words, no hits and isn't
 contaminated; a null or wordless item has no window; an item with null id counts
@@ -34,6 +36,8 @@ from pitpanel.llm.common import bound_batches, by_position, id_and_text, map_tex
 WINDOW = 13
 #: Benchmark text that is broadcast at once.
 LIMIT_BYTES = 16_000_000
+#: Windows of an item that stay together; a longer item is dealt in parts, each window in one.
+ITEM_WORDS = 50_000
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -175,6 +179,19 @@ def united(pairs: list[list[int]]) -> list[tuple[int, int]]:
 def items_of(benchmark: DataFrame, limit_bytes: int) -> tuple[DataFrame, int, Column]:
     """Ids as text and texts of the items; how many blocks they take; the block of each."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(benchmark.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = [], []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                for k in range(0, max(len(words) - WINDOW + 1, 1), ITEM_WORDS):
+                    ids.append(item)
+                    parts.append(b" ".join(words[k : k + ITEM_WORDS + WINDOW - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.string())], names=["item_id", "text"])
+
+    items = items.mapInArrow(cut, "item_id string, text string")
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     blocks = max(1, math.ceil(size / limit_bytes))
     return items, blocks, F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

@@ -60,6 +60,16 @@ def test_edges_blocks_and_cleaning(spark, make, edges):
     assert op.find(make([]), bench).count() == 0
 
 
+def test_long_items_are_dealt_in_parts(make, spark, monkeypatch):
+    monkeypatch.setattr(op, "ITEM_WORDS", 7)
+    items = [(1, " ".join(f"w{k}" for k in range(60))), (2, " ".join(f"v{k}" for k in range(13))), (3, "some short one")]
+    docs = [(k, f"x y {' '.join(f'w{j}' for j in range(k, k + 14))} z") for k in range(50)] + [(90, items[1][1] + " some short one")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert op.items_of(bench, 10**6)[0].count() > 8
+    for limit in (op.LIMIT_BYTES, 100):
+        assert sorted(map(tuple, op.digests(op.find(make(docs), bench, limit_bytes=limit)).collect()), key=str) == brute(docs, items)
+
+
 def test_query_equals_sql(spark, duck, sf_dir):
     ours = sorted(map(repr, map(tuple, queries.op2_decontaminate_benchmark(spark, sf_dir).collect())))
     assert ours == sorted(map(repr, duck.sql(op.SQL).fetchall()))
