@@ -15,7 +15,9 @@ needs counts by sort partition, not rows, on the driver.
 
 Defined results: a null text has size 1 and checksum 0, and null texts are linked to each
 other; ids may be null or repeated; repeated rows are linked and placed each for itself;
-an empty table gives an empty one; other columns are left out.
+an empty table gives an empty one; other columns are left out. Equal gains and equal homes go
+by a hash of group and shard; what doesn't fit into a shard is that which the numbering by
+group and row puts last. A text of any length is hashed whole and not kept.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import cut
+from pitpanel.llm.common import cut, meet
 
 SHARDS = 16
-ROUNDS = 10
+#: Rounds at most; labels stand still earlier, as rows only move to shards that hold more of
+#: their group. Rows that are cut from their group either way are counted by ``cut_links``.
+ROUNDS = 40
 
 
 def quotas(wanted: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -50,17 +54,24 @@ def propagate(counts: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
     shards = len(capacity)
     state = cut(counts.select("g", "shard", "n"))
     for _ in range(rounds):
+        load, settled = np.zeros(shards), np.zeros(shards)
+        for shard, n in state.groupBy("shard").agg(F.sum("n")).collect():
+            load[shard] = n
+        room = np.array(capacity) - load
+        tight = [s for s in range(shards) if room[s] <= 0.01 * capacity[s]]
         # A group's homes are the shards that hold most of it, as many as it needs to fit; of
-        # equal shards a hash decides, so that groups don't crowd into the same ones.
+        # equal shards a hash decides, so that groups don't crowd into the same ones. A small
+        # group that is split between a full shard and another is at home in the other.
         here = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
         groups = state.groupBy("g").agg(F.reverse(F.array_sort(F.collect_list(here))).alias("held"), F.sum("n").alias("total"))
         groups = groups.withColumn("homes", F.slice("held", 1, F.ceil(F.col("total") / max(1, max(capacity))).cast("int")))
-        at_home = F.exists("homes", lambda x: x["shard"] == F.col("shard"))
-        placed = state.join(groups, "g").withColumn("home", at_home)
-        load, settled = np.zeros(shards), np.zeros(shards)
-        for shard, n, m in placed.groupBy("shard").agg(F.sum("n"), F.sum(F.when(F.col("home"), F.col("n")).otherwise(0))).collect():
-            load[shard], settled[shard] = n, m
-        room = np.array(capacity) - load
+        loose = F.filter("held", lambda x: ~x["shard"].isin(tight))
+        stuck = (F.size("homes") == 1) & (F.size("held") > 1) & F.exists("homes", lambda x: x["shard"].isin(tight)) & (F.size(loose) > 0)
+        groups = groups.withColumn("homes", F.when(stuck, F.slice(loose, 1, 1)).otherwise(F.col("homes")))
+        is_home = lambda shard: F.exists("homes", lambda x: x["shard"] == shard)
+        placed = state.join(groups, "g").withColumn("home", is_home(F.col("shard")))
+        for shard, m in placed.filter("home").groupBy("shard").agg(F.sum("n")).collect():
+            settled[shard] = m
         free = [s for s in range(shards) if settled[s] < 0.99 * capacity[s]]
         if not free:
             break
@@ -68,7 +79,8 @@ def propagate(counts: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
         asks = placed.filter(~F.col("home")).withColumn("to", F.filter("homes", open_))
         asks = asks.withColumn("to", F.when(F.size("to") > 0, F.col("to")).otherwise(F.slice(F.filter("held", open_), 1, 1))).filter(F.size("to") > 0)
         asks = asks.withColumn("to", F.get("to", F.pmod(F.col("shard"), F.greatest(F.size("to"), F.lit(1)))))
-        asks = asks.filter(F.struct("n", F.xxhash64("g", "shard")) < F.struct(F.col("to.n").alias("n"), F.col("to.tie")))
+        better = F.struct("n", F.xxhash64("g", "shard")) < F.struct(F.col("to.n").alias("n"), F.col("to.tie"))
+        asks = asks.filter(is_home(F.col("to.shard")) | better)
         asks = asks.select("g", "shard", "n", F.col("to.shard").alias("to"), F.col("to.n").alias("most"))
         gain = F.floor(F.log2(F.col("most").cast("double"))).cast("int")
         asks = cut(asks.withColumn("rank", (F.lit(62) - gain) * 16 + F.pmod(F.xxhash64("g"), F.lit(16)).cast("int")))
@@ -89,12 +101,14 @@ def propagate(counts: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
             break
         # At most shards^2 * 62 * 16 rows, whatever the input.
         table = asks.sparkSession.createDataFrame(shares, "shard int, to int, rank int, share double")
-        moves = asks.join(F.broadcast(table), ["shard", "to", "rank"]).withColumn("moved", F.floor(F.col("n") * F.col("share") + 0.001).cast("bigint")).filter("moved > 0")
+        moves = asks.join(F.broadcast(table), ["shard", "to", "rank"])
+        part = F.pmod(F.xxhash64("g", "shard", F.lit("part")), F.lit(1000)) / 1000.0  # a part of a row moves as a whole or not at all
+        moves = moves.withColumn("moved", F.floor(F.col("n") * F.col("share") + part).cast("bigint")).withColumn("moved", F.least("moved", "n")).filter("moved > 0")
         changes = moves.select("g", "shard", (-F.col("moved")).alias("n")).unionByName(moves.select("g", F.col("to").alias("shard"), F.col("moved").alias("n")))
         new = cut(state.unionByName(changes).groupBy("g", "shard").agg(F.sum("n").alias("n")).filter("n > 0"))
-        total = moves.agg(F.sum("moved")).first()[0] or 0
+        moved = moves.limit(1).count()
         state = new
-        if total < 0.0005 * max(sum(capacity), 1):
+        if not moved:
             break
     return state
 
@@ -159,7 +173,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     # Rows are drawn by hash below, so a shard is filled to some deviations under its capacity.
     state = propagate(counts.join(linked, "g"), [c - min(int(4 * c**0.5), c // 8) for c in capacity], rounds)
     parts = state.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("held"), F.sum("n").alias("total"))
-    parts = parts.select(F.col("g").alias("group"), "held", "total")
+    parts = cut(parts.select("g", "held", "total", F.col("total").alias("n")))
     # A row takes a shard of its group by hash, in proportion to what the shard holds of it.
     drawn = F.pmod(F.xxhash64("row", F.lit("draw")), F.col("total"))
     pick = F.aggregate(
@@ -171,7 +185,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
             )
         ),
     )
-    met = base.join(parts, base["g"] == parts["group"], "left")
+    met = meet(base, parts, "g", count, "left")
     rows = met.select(
         "row", "doc_id", "size", "text_crc32", "g",
         F.when(F.col("held").isNull(), F.col("shard")).otherwise(pick["shard"]).cast("int").alias("shard"),
@@ -180,6 +194,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     return place(rows.select("doc_id", "size", "text_crc32", F.col("g").alias("group"), "g", "row", "single", "shard"), capacity)
 
 
+def cut_links(assigned: DataFrame) -> DataFrame:
+    """One row ``linked, cut``: rows that are linked to others, and those outside the shard
+    that holds most of their group."""
+    counts = assigned.groupBy("group", "shard").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    linked = counts.filter("n > 1")
+    return linked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linked"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
+
+
 def digests(assigned: DataFrame) -> DataFrame:
     """The contract's columns, under the law of equal numbers of rows."""
     return assigned.select(

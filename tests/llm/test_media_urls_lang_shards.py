@@ -32,7 +32,81 @@ def test_media_query(spark, sf_dir):
         got = rows[r["doc_id"]]
         assert (got["n_bytes"], got["payload_bytes"]) == (len(raw), len(payload))
         assert got["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got["tail_crc32"] == zlib.crc32(payload[-64:])
-        assert got["feature"] == op7_media.describe(payload)
+        assert got["feature"] == feature(payload)
+
+
+def feature(payload):
+    """Sum, sum of squares, sum of steps, peak, and counts in four ranges, sample by sample."""
+    total = squares = steps = peak = 0
+    ranges, last = [0, 0, 0, 0], None
+    for x in payload:
+        total, squares, peak = total + x, squares + x * x, max(peak, x)
+        steps += 0 if last is None else abs(x - last)
+        ranges[x // 64] += 1
+        last = x
+    return "-".join(map(str, [total, squares, steps, peak, *ranges]))
+
+
+def png_samples(media):
+    """An independent decoder of 8-bit greyscale PNGs: all five line filters, checked chunks."""
+    assert media[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, data, size, names = 8, b"", None, []
+    while at < len(media):
+        n = int.from_bytes(media[at : at + 4], "big")
+        name, body, crc = media[at + 4 : at + 8], media[at + 8 : at + 8 + n], media[at + 8 + n : at + 12 + n]
+        assert int.from_bytes(crc, "big") == zlib.crc32(name + body)
+        names.append(name)
+        if name == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert tuple(body[8:]) == (8, 0, 0, 0, 0)
+        data += body if name == b"IDAT" else b""
+        at += 12 + n
+    assert names[0] == b"IHDR" and names[-1] == b"IEND" and at == len(media)
+    lines, out, above = zlib.decompress(data), [], [0] * size[0]
+    assert len(lines) == size[1] * (size[0] + 1)
+    for k in range(size[1]):
+        kind, *raw = lines[k * (size[0] + 1) : (k + 1) * (size[0] + 1)]
+        line = []
+        for j, x in enumerate(raw):
+            left, up, corner = line[j - 1] if j else 0, above[j], above[j - 1] if j else 0
+            guess = left + up - corner
+            nearest = min((left, up, corner), key=lambda v: abs(guess - v))
+            line.append((x + [0, left, up, (left + up) // 2, nearest][kind]) % 256)
+        out += line
+        above = line
+    return bytes(out)
+
+
+def test_stored_forms_by_another_decoder(spark, make, tmp_path):
+    texts = ["", "a", "é漢😀" * 100, "x" * 64, "\x00\x01", "long text " * 5000]
+    folder = f"file://{tmp_path}/media"
+    op7_media.write_archives(make(list(enumerate(texts))).select("doc_id", "text"), folder)
+    for r in op7_media.read_archives(spark, folder).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert png_samples(bytes(r["media"])) == (raw + bytes(-len(raw) % 64) or bytes(64))
+
+
+def test_a_lost_archive_is_noticed(spark, make, tmp_path):
+    folder = f"file://{tmp_path}/media"
+    _, members = op7_media.write_archives(make([(k, f"text {k}" * 9) for k in range(50)]).select("doc_id", "text"), folder, archive_bytes=5000)
+    assert op7_media.read_archives(spark, folder, members=str(members)).count() == 50
+    (tmp_path / "media" / "_part-000000-0000-7.tar").write_bytes(b"left by an attempt that failed")
+    assert op7_media.read_archives(spark, folder, members=str(members)).count() == 50
+    lost = sorted((tmp_path / "media").glob("p*.tar"))[0]
+    lost.rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="members and not 50"):
+        op7_media.read_archives(spark, folder, members=str(members)).count()
+
+
+def test_another_attempt_leaves_what_is_there(tmp_path):
+    import pyarrow as pa
+
+    for attempt in ("1", "2"):
+        writer = op7_media.ArchiveWriter(f"file://{tmp_path}/m", "part-0", attempt)
+        writer.add(b"media")
+        writer.close(pa.array([1]))
+        made = {p.name: p.read_bytes() for p in (tmp_path / "m").iterdir()}
+        assert sorted(made) == ["part-0-1.idx", "part-0-1.tar"]
 
 
 def test_ranges_batches_and_archives(spark, make, edges, tmp_path):
@@ -129,6 +203,38 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def counted_grams(text):
+    out = collections.Counter()
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        edged = (1, *map(ord, word), 1)
+        out.update((c,) for c in edged[1:-1])
+        out.update(edged[k : k + 2] for k in range(len(edged) - 1))
+        out.update(edged[k : k + 3] for k in range(len(edged) - 2))
+    return out
+
+
+def most_frequent(counts):
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))[: op9_langid.SIZE]
+
+
+def test_profiles_and_distances_by_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    totals = collections.defaultdict(collections.Counter)
+    for i, text, lang in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and text is not None:
+            totals[lang].update(counted_grams(text))
+    ranks = {lang: {g: k for k, g in enumerate(most_frequent(totals[lang]))} for lang in sorted(totals)}
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, text, _ in docs:
+        own = most_frequent(counted_grams(text))
+        apart = {lang: sum(abs(known[g] - k) if g in known else op9_langid.SIZE for k, g in enumerate(own)) for lang, known in ranks.items()}
+        best = min(apart, key=apart.get) if own else "und"
+        score = 1 - apart[best] / (op9_langid.SIZE * len(own)) if own else 0.0
+        assert (got[i]["lang_pred"], got[i]["score"]) == (best, pytest.approx(score, abs=1e-12))
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_language_edges(spark, make, edges):
     learnt = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "fr"), ("x", None)], "text string, lang string")
     profiles = op9_langid.learn(learnt)
@@ -185,6 +291,35 @@ def test_a_hot_group_is_spread_over_few_shards(make):
     assert sum(n for _, n in hot.most_common(7)) >= 0.9 * sum(hot.values())
 
 
+def test_cut_links_and_repeatability(spark, make):
+    table = make([(k, "hot" if k % 3 == 0 else f"pair {k // 10}" if k % 5 == 0 else f"own {k}") for k in range(3000)] + [(None, None)] * 40 + [(7, "long " * 400_000)] * 2)
+    made = op10_sharding.assign(table)
+    rows = made.collect()
+    groups = shares(rows)
+    linked, cut = op10_sharding.cut_links(made).first()
+    assert linked == sum(sum(g.values()) for g in groups) and cut == sum(sum(g.values()) - max(g.values()) for g in groups)
+    by_text = collections.defaultdict(set)
+    for r in rows:
+        by_text[r["size"], r["text_crc32"]].add(r["group"])
+    assert all(len(g) == 1 for g in by_text.values()) and len(rows) == 3042
+    small = [g for g in groups if sum(g.values()) < 150]
+    assert sum(sum(g.values()) - max(g.values()) for g in small) <= 0.02 * sum(sum(g.values()) for g in small)
+
+
+def test_labels_stand_still(spark):
+    """After the last round no row asks to move to a shard with room that holds more of its group."""
+    import random
+
+    rnd = random.Random(1)
+    rows = [(g, s, rnd.randint(1, 5)) for g in range(60) for s in rnd.sample(range(4), 3)]
+    counts = spark.createDataFrame(rows, "g bigint, shard int, n bigint")
+    total = sum(n for *_, n in rows)
+    held = collections.defaultdict(dict)
+    for g, s, n in op10_sharding.propagate(counts, [total] * 4).select("g", "shard", "n").collect():
+        held[g][s] = n
+    assert sum(sum(h.values()) for h in held.values()) == total and all(len(h) == 1 for h in held.values())
+
+
 def test_shard_edges(make, edges):
     rows = op10_sharding.assign(make(edges)).collect()
     shares(rows)
