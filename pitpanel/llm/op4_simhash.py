@@ -451,7 +451,7 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     Rows of one set of shingles are one node, so that copies cost nothing; of equal ids the row
     that is read first stays. Null, empty and blank texts are one node. Groups of the same nodes
-    under different bands (by their number and two sums of hashes) are compared once. All
+    under different bands (by their number, least row and two mixed hashes) are compared once. All
     columns are kept, whatever their names. Texts are shuffled twice, to their groups and to
     the choice; members of groups grow with the table and aren't broadcast.
     """
@@ -471,10 +471,10 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     key = F.struct(F.col(f"all.{doc_id}").isNull().alias("none"), F.col(f"all.{doc_id}").alias("doc_id"), "row").alias("key")
     nodes = cut(kept.select("digest", "bands", key).groupBy("digest").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
     nodes = nodes.select("key", F.col("key.row").alias("row"), "bands")
-    members = cut(nodes.select("row", F.explode("bands").alias("key")))
-    sums = (F.bit_xor(F.xxhash64("row")).alias("mixed"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("sum"))
-    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("pivot"), *sums).filter("n > 1")
-    groups = cut(groups.groupBy("n", "pivot", "mixed", "sum").agg(F.min("key").alias("key")).select("key", "n", "pivot"))
+    members = nodes.select("row", F.explode("bands").alias("key"))
+    mixed = (F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"mixed{k}") for k in range(2))
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("pivot"), *mixed).filter("n > 1")
+    groups = cut(groups.groupBy("n", "pivot", "mixed0", "mixed1").agg(F.min("key").alias("key")).select("key", "n", "pivot"))
     linked = similar(members, groups, kept.select("row", F.col(f"all.{text}").cast("string").alias("text")), size, similarity, limit)
     named = nodes.join(linked, nodes["row"] == linked["node"], "left").groupBy(F.coalesce("root", "row").alias("root"))
     chosen = named.agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
