@@ -131,3 +131,17 @@ def meet(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "in
     hot = table.filter(F.col("n") > total / HOT)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= total / HOT), key, how)
     return rows.join(F.broadcast(hot), key).unionByName(cold).drop("n")
+
+
+#: Ids that may be broadcast, of eight bytes each.
+IDS = 2_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` whose key is among the distinct ``ids`` (``left_semi``) or isn't (``left_anti``).
+
+    Up to IDS of them, as counted, the ids go to the rows, which may be texts; beyond that
+    both are shuffled.
+    """
+    held = cut(ids)
+    return rows.join(F.broadcast(held) if held.count() <= IDS else held, key, how)

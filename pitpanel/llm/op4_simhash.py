@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import HOT, by_position, cut, id_and_text, map_texts, meet, store
+from pitpanel.llm.common import HOT, by_position, cut, id_and_text, map_texts, meet, only, store
 
 DISTANCE = 4
 SHINGLE = 4
@@ -396,7 +396,8 @@ def compared(dealt: DataFrame, texts: DataFrame, size: int, similarity: float) -
 
     Rows of one key and part are compared; of those with a side, pairs of two sides only.
     """
-    rows = dealt.hint("merge").join(texts, "row").select("key", "part", "side", "row", "text")
+    wanted = only(texts, dealt.select("row").distinct(), "row", "left_semi")
+    rows = dealt.hint("merge").join(wanted, "row").select("key", "part", "side", "row", "text")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,8 +453,9 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     Rows of one set of shingles are one node, so that copies cost nothing; of equal ids the row
     that is read first stays. Null, empty and blank texts are one node. Groups of the same nodes
     under different bands (by their number, least row and two mixed hashes) are compared once. All
-    columns are kept, whatever their names. Texts are shuffled twice, to their groups and to
-    the choice; members of groups grow with the table and aren't broadcast.
+    columns are kept, whatever their names. Texts are shuffled to the groups that they are in;
+    ids tell which are in one and which rows go, and are sent to the texts as long as their
+    number allows it.
     """
 
     def work() -> Callable[[list[str]], list[tuple]]:
@@ -478,4 +480,5 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     linked = similar(members, groups, kept.select("row", F.col(f"all.{text}").cast("string").alias("text")), size, similarity, limit)
     named = nodes.join(linked, nodes["row"] == linked["node"], "left").groupBy(F.coalesce("root", "row").alias("root"))
     chosen = named.agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
-    return kept.join(chosen, "row", "left_semi").select("all.*").toDF(*docs.columns)
+    gone = kept.select("row").join(chosen, "row", "left_anti")
+    return only(kept, gone, "row", "left_anti").select("all.*").toDF(*docs.columns)
