@@ -8,6 +8,7 @@ import os
 import tempfile
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,8 @@ def checkpointed_append(spark: SparkSession, new: DataFrame, path: str, key: str
     """Score what isn't in the table at ``path`` yet and append it; how many rows that were."""
     try:
         todo = not_yet(new, spark.read.parquet(path), key)
-    except Exception as e:  # the table isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         todo = new.dropDuplicates([key])
     before = todo.count()
