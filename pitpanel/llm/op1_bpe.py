@@ -39,6 +39,8 @@ MEMO = 600_000
 CORPUS_CHARS = 32_000_000
 #: Words of documents that are put together at once.
 RUN = 200_000
+#: Places of a replay whose first pairs are sorted at once.
+BLOCK = 500_000
 
 
 class MergeReplay:
@@ -84,14 +86,24 @@ class MergeReplay:
         last = np.unique(ends[ends > 0]) - 1  # the last place of each word
         places = np.arange(len(data), dtype=np.int32)
         symbol = self.single[data]  # -1 where a token begins no more
-        pair = np.append(self.first[data[:-1].astype(np.int32) << 8 | data[1:]], np.int32(-1))
-        pair[last] = -1  # the rank of the pair that starts here, or -1
         after, before = places + 1, places - 1
+        del places
         after[last] = before[0] = before[last[:-1] + 1] = -1
-        order = np.argsort(pair, kind="stable")
-        order = order[np.searchsorted(pair[order], 0) :]
-        edges = np.flatnonzero(np.diff(pair[order], prepend=-1, append=-1))
-        index: dict[int, list] = {r: [order[a:b]] for r, a, b in zip(pair[order[edges[:-1]]].tolist(), edges.tolist(), edges[1:].tolist())}
+        pair = np.full(len(data), -1, np.int32)  # the rank of the pair that starts here, or -1
+        index: dict[int, list] = {}
+        for a in range(0, len(data), BLOCK):  # sorting takes several times the memory of what is sorted
+            block = data[a : a + BLOCK + 1].astype(np.int32)
+            here = pair[a : a + BLOCK]
+            here[: len(block) - 1] = self.first[block[:-1] << 8 | block[1:]]
+            here[after[a : a + BLOCK] < 0] = -1
+            order = np.argsort(here, kind="stable").astype(np.int32)
+            order = order[np.searchsorted(here, 0, sorter=order) :]
+            ranks = here[order]
+            order += a
+            edges = np.append(np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])), len(ranks)).tolist() if len(ranks) else []
+            for x, y in zip(edges, edges[1:]):
+                index.setdefault(int(ranks[x]), []).append(order[x:y])
+        del data
         heap, early = list(index), []
         heapify(heap)
 
@@ -153,9 +165,10 @@ class MergeReplay:
             enter(r, p_in, self._joined(self.behind, r, now))
             b_in = preceding[preceding >= 0]
             enter(r, b_in, self._joined(self.ahead, r, symbol[b_in]))
+        del after, before, pair
         kept = symbol >= 0
         packed = symbol[kept].astype("<u4").tobytes()
-        stops = (np.concatenate([[0], np.cumsum(kept)])[ends] * 4).tolist()
+        stops = (np.append(np.int32(0), np.cumsum(kept, dtype=np.int32))[ends].astype(np.int64) * 4).tolist()
         out = [packed[a:b] for a, b in zip([0, *stops], stops)]
         if early:
             for k in np.unique(np.searchsorted(ends, np.concatenate(early), side="right")).tolist():
@@ -311,7 +324,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             texts, at = batch.column(1), 0
             for part in chunks(x.as_py() for x in texts):
-                held.append((batch.column(0).slice(at, len(part)), [known.read(text) for text in part]))
+                # A copy: a slice would keep the batch's texts, too.
+                held.append((batch.column(0).take(pa.array(range(at, at + len(part)))), [known.read(text) for text in part]))
                 at += len(part)
                 size += sum(map(len, part))
                 if size > CORPUS_CHARS or len(known.numbers) > MEMO:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -79,6 +80,24 @@ def test_memory_bound_does_not_alter_results(library, monkeypatch):
         assert op1_bpe.unpack(made.encode([text])[0]) == library.encode_ordinary(text)
 
 
+def test_blocks_of_places_do_not_alter_results(library, monkeypatch):
+    texts = [*noise(300, 6), "a" * 3000, "ab" * 2000]
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(op1_bpe, "BLOCK", block, raising=False)
+        assert [op1_bpe.unpack(x) for x in op1_bpe.encoder(PATH, P.PATTERN).encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_a_replay_takes_bounded_memory_a_byte():
+    rnd = random.Random(8)
+    words = [bytes(rnd.choices(b"etaoinshrdlu", k=10)) for _ in range(200_000)]
+    ours = op1_bpe.replayer(PATH)
+    tracemalloc.start()
+    ours.replay(words)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 36 * 10 * len(words), most
+
+
 def test_query_and_round_trip(spark, sf_dir, library, make, edges):
     rows = {r["doc_id"]: r for r in queries.op1_byte_bpe(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
