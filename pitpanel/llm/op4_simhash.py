@@ -24,11 +24,12 @@ if there is none; repeated rows and ids give repeated rows; an empty table gives
 empty one; other columns are left out. Long texts are hashed in bounded pieces.
 
 ``one_of_similar`` is for corpora: it keeps one document of those that exact shingle
-similarity links. A similarity of 0.8 is some 10 of 64 bits on average, which no choice of
-blocks of bits finds in reasonable groups; so the groups are documents that share a band of
-minimum hashes, fingerprints within ``WIDE`` bits are candidates there, and the sets of
-shingles decide. A pair in a group is only passed over when confirmed links of that group
-connect it already.
+similarity links. It goes by the same fingerprints and index: ``classes`` finds what links at
+``DISTANCE`` bits, and each class is a group. A similarity of 0.8 is some 10 of 64 bits on
+average, which no choice of blocks of bits finds in reasonable groups; so documents that share
+a band of minimum hashes are groups besides. In each group the index is searched for
+fingerprints within ``WIDE`` bits, and the sets of shingles decide. A pair in a group is only
+passed over when confirmed links of that group connect it already.
 """
 
 from __future__ import annotations
@@ -363,6 +364,22 @@ def bands(found: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(d, k)).view(np.int64)) for k, d in enumerate(data)]
 
 
+def candidates(codes: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each position with any, the later positions whose codes are within the distance, by the index."""
+    index = GrayIndex(codes)
+    step = max(1, 250_000 // len(codes))
+    for start in range(0, len(codes), step):
+        query, found = index.search(codes[start : start + step], distance)
+        query += start
+        later = found > query
+        query, found = query[later], found[later]
+        order = np.lexsort((found, query))
+        query, found = query[order], found[order]
+        edges = np.flatnonzero(np.diff(query, prepend=-1, append=-1)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield int(query[a]), found[a:b]
+
+
 def confirmed(found: list[np.ndarray], side: np.ndarray | None = None, similarity: float = SIMILARITY) -> tuple[list[int], list[int]]:
     """Links that connect whatever texts, given as shingle hashes, are similar enough.
 
@@ -372,13 +389,12 @@ def confirmed(found: list[np.ndarray], side: np.ndarray | None = None, similarit
     sets = [np.unique(x) for x in found]
     sizes = np.array([len(x) for x in sets])
     labels, us, vs = np.arange(len(sets)), [], []
-    for k, (own, size) in enumerate(zip(sets, sizes)):
-        near = (labels != labels[k]) & (np.bitwise_count(codes ^ codes[k]) <= WIDE)
-        near[: k + 1] = False
+    for k, others in candidates(codes, WIDE):
+        own, size = sets[k], sizes[k]
+        near = (labels[others] != labels[k]) & (np.minimum(sizes[others], size) >= similarity * np.maximum(sizes[others], size) - 1e-9)
         if side is not None:
-            near &= side != side[k]
-        near &= np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9
-        others = np.flatnonzero(near)
+            near &= side[others] != side[k]
+        others = others[near]
         if not len(others):
             continue
         every = np.concatenate([sets[x] for x in others])
@@ -451,29 +467,31 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     """``docs`` with one row of each component of similar texts: that of the smallest id, null last.
 
     Rows of one set of shingles are one node, so that copies cost nothing; of equal ids the row
-    that is read first stays. Null, empty and blank texts are one node. Groups of the same nodes
-    under different bands (by their number, least row and two mixed hashes) are compared once. All
-    columns are kept, whatever their names. Texts are shuffled to the groups that they are in;
-    ids tell which are in one and which rows go, and are sent to the texts as long as their
-    number allows it.
+    that is read first stays. Null, empty and blank texts are one node. Groups are the ``classes``
+    of fingerprints and the bands; groups of the same nodes (by their number, least row and two
+    mixed hashes) are compared once. All columns are kept, whatever their names. Texts are shuffled
+    to the groups that they are in; ids tell which are in one and which rows go, and are sent to
+    the texts as long as their number allows it.
     """
 
     def work() -> Callable[[list[str]], list[tuple]]:
         def one(text: str) -> tuple:
-            found = np.unique(shingles(text, size))
-            return xxhash.xxh3_128_digest(found.tobytes()), bands(found)
+            every = shingles(text, size)
+            found = np.unique(every)
+            return xxhash.xxh3_128_digest(found.tobytes()), bands(found), int(majority(every).view(np.int64))
 
         return lambda texts: [one(text) for text in texts]
 
     plain = by_position(docs)
     text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
-    fields = [("digest", "binary", pa.binary()), ("bands", "array<bigint>", pa.list_(pa.int64()))]
+    fields = [("digest", "binary", pa.binary()), ("bands", "array<bigint>", pa.list_(pa.int64())), ("fp", "bigint", pa.int64())]
     found = map_texts(plain.select(F.struct(*plain.columns).alias("doc_id"), F.col(text).cast("string").alias("text")), fields, work)
-    kept = store(found.select(F.col("doc_id").alias("all"), "digest", "bands").withColumn("row", F.monotonically_increasing_id()), "similar")
-    key = F.struct(F.col(f"all.{doc_id}").isNull().alias("none"), F.col(f"all.{doc_id}").alias("doc_id"), "row").alias("key")
+    kept = store(found.select(F.col("doc_id").alias("all"), "digest", "bands", "fp").withColumn("row", F.monotonically_increasing_id()), "similar")
+    key = F.struct(F.col(f"all.{doc_id}").isNull().alias("none"), F.col(f"all.{doc_id}").alias("doc_id"), "row", "fp").alias("key")
     nodes = cut(kept.select("digest", "bands", key).groupBy("digest").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
-    nodes = nodes.select("key", F.col("key.row").alias("row"), "bands")
-    members = nodes.select("row", F.explode("bands").alias("key"))
+    nodes = nodes.select("key", F.col("key.row").alias("row"), F.col("key.fp").alias("fp"), "bands")
+    close = cut(nodes.select("row", "fp").join(classes(nodes), "fp").select("row", F.col("root").alias("key")))
+    members = nodes.select("row", F.explode("bands").alias("key")).unionByName(close)
     mixed = (F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"mixed{k}") for k in range(2))
     groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("pivot"), *mixed).filter("n > 1")
     groups = cut(groups.groupBy("n", "pivot", "mixed0", "mixed1").agg(F.min("key").alias("key")).select("key", "n", "pivot"))

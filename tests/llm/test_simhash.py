@@ -179,3 +179,24 @@ def test_similar_in_pieces(monkeypatch):
     whole = op.shingles(text, 5)
     monkeypatch.setattr(op, "PIECE", 500)
     assert len(whole) == 2996 and (op.shingles(text, 5) == whole).all()
+
+
+def test_similar_texts_are_found_by_the_index(monkeypatch):
+    """Candidates are what the index returns: all pairs within WIDE bits, and no others."""
+    codes = clusters(30, 5)
+    want = [(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if int(codes[a] ^ codes[b]).bit_count() <= op.WIDE]
+    assert [(k, x) for k, others in op.candidates(codes, op.WIDE) for x in others.tolist()] == want
+    texts = [op.shingles(t, 5) for _, t in near_copies(5)]
+    assert op.confirmed(texts)[0]
+    monkeypatch.setattr(op.GrayIndex, "search", lambda self, queries, distance: (np.zeros(0, int), np.zeros(0, int)))
+    assert op.confirmed(texts) == ([], [])
+
+
+def test_similar_texts_without_a_common_band(make):
+    """Two of 49 words, 0.8 alike and within four bits, that share none of the bands."""
+    one = [f"w{x}" for x in np.random.default_rng(10024).integers(0, 5000, 49)]
+    two = [*one[:24], "o18", *one[25:]]
+    a, b = (op.shingles(" ".join(t), 5) for t in (one, two))
+    assert jaccard(" ".join(one), " ".join(two)) == 0.8 and not set(op.bands(a)) & set(op.bands(b))
+    docs = [(1, " ".join(one)), (2, " ".join(two)), (3, "other words that are in none of them")]
+    assert sorted(r["doc_id"] for r in op.one_of_similar(make(docs)).collect()) == [1, 3]
