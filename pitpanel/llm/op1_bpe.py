@@ -6,7 +6,8 @@ together: one step a pair, over all its places at once, which touches only the n
 the places where the pair stands. Documents are put together from the encoded words.
 
 Which words are gathered together does not alter the result. A corpus is what a task reads,
-up to ``CORPUS_CHARS`` at a time, and words that a task has met before are not replayed. One
+up to ``CORPUS_CHARS`` at a time, and words that a task has met before are not replayed; new
+ones are replayed ``REPLAY_CHARS`` at a time, which bounds the memory of a replay. One
 table of all words of a large input would need a second pass over the texts and a shuffle of
 the words there and back, which costs more than the replay does (figures in the README).
 
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import bound_batches, chunks, id_and_text
+from pitpanel.llm.common import bound_batches, chunks, give_back, id_and_text, lean
 
 #: Words that a task remembers; beyond it begins anew.
 MEMO = 600_000
@@ -39,6 +40,8 @@ MEMO = 600_000
 CORPUS_CHARS = 32_000_000
 #: Words of documents that are put together at once.
 RUN = 200_000
+#: Characters of new words that one replay takes together: it needs some 36 bytes of memory a byte.
+REPLAY_CHARS = 1_000_000
 #: Places of a replay whose first pairs are sorted at once.
 BLOCK = 500_000
 
@@ -230,10 +233,11 @@ class Encoder:
         return np.fromiter((number(m.group()) for m in self.pattern.finditer(text)), np.int32)
 
     def learn(self) -> None:
-        words = [w.encode() for w in islice(self.numbers, len(self.encoded), None)]
         ranks = self.replayer.ranks
-        made = iter(self.replayer.replay([w for w in words if w not in ranks]))
-        self.encoded += [ranks[w].to_bytes(4, "little") if w in ranks else next(made) for w in words]
+        for part in chunks(islice(self.numbers, len(self.encoded), None), REPLAY_CHARS):
+            words = [w.encode() for w in part]
+            made = iter(self.replayer.replay([w for w in words if w not in ranks]))
+            self.encoded += [ranks[w].to_bytes(4, "little") if w in ranks else next(made) for w in words]
 
     def ids(self, numbers: np.ndarray) -> bytes:
         return b"".join(map(self.encoded.__getitem__, numbers.tolist()))
@@ -308,7 +312,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         size = 0
 
         def encoded() -> Iterator[pa.RecordBatch]:
+            give_back()  # what reading took
             known.learn()
+            give_back()
             for ids, numbers in held:
                 at = 0
                 for part in pieces(numbers):
@@ -333,7 +339,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     size = 0
         yield from encoded()
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(lean(run), schema)
     return out.withColumn("n_tokens", F.expr("cast(length(ids) div 4 as bigint)"))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import bound_batches, by_position, id_and_text, map_texts
+from pitpanel.llm.common import bound_batches, by_position, id_and_text, lean, map_texts
 
 WINDOW = 13
 #: Benchmark text that is broadcast at once.
@@ -306,9 +306,9 @@ def _pass(rows, windows, names, first, last, text_at, chars_at, marks, schema) -
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     if last:
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run), schema)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInArrow(run, f"{types}, _hits array<array<int>>, _whole array<array<int>>")
+    return rows.mapInArrow(lean(run), f"{types}, _hits array<array<int>>, _whole array<array<int>>")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import HOT, by_position, cut, id_and_text, map_texts, meet, only, store
+from pitpanel.llm.common import HOT, by_position, cut, id_and_text, lean, map_texts, meet, only, store
 
 DISTANCE = 4
 SHINGLE = 4
@@ -306,7 +306,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Dat
                 u, v = np.concatenate(us), np.concatenate(vs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(lean(run), "u bigint, v bigint").distinct()
 
 
 def _and_none(batches: Iterator) -> Iterator:
@@ -429,7 +429,7 @@ def compared(dealt: DataFrame, texts: DataFrame, size: int, similarity: float) -
                 at = np.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(at[u]), pa.array(at[v])], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def similar(members: DataFrame, groups: DataFrame, texts: DataFrame, size: int, similarity: float, limit: int) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import by_position, bound_batches, chunks, id_and_text, map_texts
+from pitpanel.llm.common import by_position, bound_batches, chunks, id_and_text, lean, map_texts
 
 KINDS = ["email", "ip", "card", "phone"]
 NONE = len(KINDS)
@@ -451,7 +451,7 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Fiel
                     made = training_rows(text.as_py())
                     yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([made.tobytes()], pa.binary())], names=["h", "rows"])
 
-    drawn = hashed.filter(F.col("h") <= F.lit(least)).mapInArrow(run, "h bigint, rows binary")
+    drawn = hashed.filter(F.col("h") <= F.lit(least)).mapInArrow(lean(run), "h bigint, rows binary")
     # One row a text: at most SAMPLE * 3 * SITES * COLUMNS bytes.
     rows = drawn.groupBy("h").agg(F.max("rows")).collect()
     return fit_rows(np.concatenate([np.frombuffer(bytes(r[1]), np.int8).reshape(-1, COLUMNS) for r in rows]))
@@ -533,4 +533,4 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     plain = by_position(docs)
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*names)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import CHUNK_CHARS, by_position, chunks, id_and_text, map_texts
+from pitpanel.llm.common import CHUNK_CHARS, by_position, chunks, id_and_text, lean, map_texts
 
 SIZE = 300
 UNKNOWN = "und"
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, size: int = SIZE, text_col: str = "text", lang_col: s
                     yield from out()
         yield from out()
 
-    counts = rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size)
     return Profiles([(r[0], r[1], r[2]) for r in top.select("lang", "gram", "rank").collect()], size)

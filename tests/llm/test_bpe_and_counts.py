@@ -161,3 +161,50 @@ def test_counts(spark, sf_dir, make, edges):
     out = op3_token_count.count(make(edges), WORDS).collect()
     assert len(out) == len(edges) and all(r["n_tokens"] == 0 for r in out if r["n_bytes"] == 0)
     assert op3_token_count.count(make([]), WORDS).count() == 0
+
+
+def test_learning_many_words_takes_bounded_memory():
+    rnd = random.Random(9)
+    made = op1_bpe.encoder(PATH, P.PATTERN)
+    made.read(" ".join("".join(rnd.choices("etaoinshrdlu", k=10)) for _ in range(400_000)))
+    tracemalloc.start()
+    made.learn()
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 100_000_000, most
+
+
+def test_replays_of_parts_do_not_alter_results(library, monkeypatch):
+    texts = [*noise(300, 10), "a" * 3000, "ab" * 2000]
+    for limit in (1, 50, 3000):
+        monkeypatch.setattr(op1_bpe, "REPLAY_CHARS", limit, raising=False)
+        assert [op1_bpe.unpack(x) for x in op1_bpe.encoder(PATH, P.PATTERN).encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_a_worker_gives_back_what_a_task_took(tmp_path):
+    """Workers stay for later tasks, and what they keep is the executor's."""
+    code = f"""
+import random, re
+import public_tokenizers as P, pyarrow as pa
+from pitpanel.llm import op1_bpe
+from pitpanel.session import session
+spark = session("local[1]", 1, **{{"spark.checkpoint.dir": {str(tmp_path)!r}}})
+def held(batches):
+    for _ in batches:
+        kb = re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]
+        yield pa.RecordBatch.from_arrays([pa.array([int(kb)])], names=["kb"])
+def kb():
+    return spark.range(1).coalesce(1).mapInArrow(held, "kb bigint").first()[0]
+def docs(n, words):
+    rnd = random.Random(n)
+    made = [(k, " ".join("".join(rnd.choices("etaoinshrdlu", k=9)) for _ in range(words))) for k in range(n)]
+    return spark.createDataFrame(made, "doc_id bigint, text string").coalesce(1)
+def encode(table):
+    op1_bpe.encode(table, {PATH!r}, P.PATTERN, and_decode=True).write.format("noop").mode("overwrite").save()
+encode(docs(1, 10))
+before = kb()
+encode(docs(500, 1000))
+print((kb() - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True, timeout=300)
+    assert float(done.stdout.split()[-1]) < 65
