@@ -33,3 +33,7 @@ def rows(spark, folder, name):
 def test_forest_without_folds(spark, none):
     df = QUERIES["ml3_forest_cross_validation"](spark, none[0])
     assert df.columns == ["market_ticker", "t0", "fold", "p_DOWN", "p_FLAT", "p_UP", "event_group", "label", "pred"] and df.count() == 0
+
+
+def test_report_without_predictions(spark, none):
+    assert rows(spark, none[0], "ml7_report") == [(n, 0.0, None, None) for n in ("model", "majority", "no_change", "momentum", "random")]
