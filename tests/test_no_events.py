@@ -6,8 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pitpanel.plans import compile as language
 from pitpanel.plans import queries_files, queries_scores  # noqa: F401
 from pitpanel.plans.catalog import QUERIES, panel_events
+from pitpanel.plans.spec import col, node
 
 
 def shortened(spark, sf_dir, folder, until):
@@ -37,3 +39,15 @@ def test_forest_without_folds(spark, none):
 
 def test_report_without_predictions(spark, none):
     assert rows(spark, none[0], "ml7_report") == [(n, 0.0, None, None) for n in ("model", "majority", "no_change", "momentum", "random")]
+
+
+def test_search_without_folds(spark, none):
+    found = rows(spark, none[0], "se1_search_run")
+    assert [r[0] for r in found] == [0, 1] and {r[2:] for r in found} == {("rejected", "dm_too_few_blocks")}
+
+
+def test_fitted_spec_without_folds(spark):
+    events = spark.createDataFrame([], "market_ticker string, t0 bigint, mid double")
+    folds = spark.createDataFrame([], "market_ticker string, t0 bigint, fold bigint, role string")
+    made = language.evaluate_folds(node("zscore", col("mid")), events, folds, [], ["mid"])
+    assert dict(made.dtypes)["value"] == "double" and made.count() == 0
