@@ -51,3 +51,7 @@ def test_fitted_spec_without_folds(spark):
     folds = spark.createDataFrame([], "market_ticker string, t0 bigint, fold bigint, role string")
     made = language.evaluate_folds(node("zscore", col("mid")), events, folds, [], ["mid"])
     assert dict(made.dtypes)["value"] == "double" and made.count() == 0
+
+
+def test_trial_without_folds(spark, none):
+    assert rows(spark, none[0], "se2_candidate_trial") == [("dm_too_few_blocks", None, 1.0, 0.0)]
