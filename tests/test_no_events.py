@@ -55,3 +55,7 @@ def test_fitted_spec_without_folds(spark):
 
 def test_trial_without_folds(spark, none):
     assert rows(spark, none[0], "se2_candidate_trial") == [("dm_too_few_blocks", None, 1.0, 0.0)]
+
+
+def test_gate_without_rows(spark, none):
+    assert rows(spark, none[0], "st13_gate") == [("dm_too_few_blocks", None, 1.0, 1.0, 1.0)]
