@@ -79,6 +79,7 @@ def few(spark, sf_dir, tmp_path_factory):
         ("st4_bartlett_hac", "none"), ("st4_bartlett_hac", "few"),
         ("st5_bartlett_within_groups", "none"), ("st5_bartlett_within_groups", "few"),
         ("st7_dm_test", "none"), ("st7_dm_test", "one"), ("st7_dm_test", "few"),
+        ("st8_sign_flip", "none"), ("st8_sign_flip", "few"),
     ],
 )
 def test_same_as_sql(spark, request, name, panel):
